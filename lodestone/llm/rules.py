@@ -24,8 +24,8 @@ COMMON = {
 WORDS = tuple(w for words in COMMON.values() for w in words)
 #: Classes of characters, each as the body of a regular expression's set.
 CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{N}", r"\x20\x09-\x0D", r".,;:'\x22()-", r"#*$%&|<>")
-MIN_WORDS, MIN_COMMON = 30, 8
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.24, 0.75
+MIN_WORDS, MIN_COMMON = 50, 8
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.27, 0.75
 WINDOW = 5
 
 
