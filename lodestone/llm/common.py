@@ -43,6 +43,20 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
 
 
+def count_runs(text: Column, member: str, other: str) -> Column:
+    """How many runs of `member` characters a text has; both are bodies of complementary sets.
+
+    Each run, with what stands around it, is replaced by one character: much cheaper than to make strings of the runs.
+    """
+    t = F.coalesce(text, F.lit(""))
+    n = F.length(F.regexp_replace(t, f"[{other}]*+[{member}]++[{other}]*+", "x"))
+    return F.when(t.rlike(f"[{member}]"), n).otherwise(0).cast("long")
+
+
+def count_words(text: Column) -> Column:
+    return count_runs(text, r"^\x20\x09-\x0D", r"\x20\x09-\x0D")
+
+
 def crc_mod(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.crc32(id_col.cast("string").cast("binary")) % n

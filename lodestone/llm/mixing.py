@@ -14,16 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved
+from .common import count_words, saved
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, EPOCHS = 1.5, 2
 COARSE, FINE = 1 << 10, 1 << 10
-SALTS = 64
-
-
-def size_of(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
 def quality_weight(text: Column) -> Column:
@@ -67,7 +62,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 def with_taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """__id, __source, __size, __source_size, __target, __taken for every row of docs."""
     base = docs.select(
-        F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), size_of(F.col(text_col)).alias("__size"), draw(F.col(id_col), F.col(text_col), quality_weight(F.col(text_col))).alias("__key")
+        F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), count_words(F.col(text_col)).alias("__size"), draw(F.col(id_col), F.col(text_col), quality_weight(F.col(text_col))).alias("__key")
     )
     # keys have about unit exponential size, so this is about even, and it never falls as the key grows
     even = F.least(F.lit(COARSE * FINE - 1), F.floor((1 - F.exp(-F.col("__key"))) * (COARSE * FINE))).cast("int")

@@ -49,6 +49,12 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .similar import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_language_id": op5_language_id,
     "op6_personal_data": op6_personal_data,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_source_mixing": op8_source_mixing,
     "op9_decontamination": op9_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
