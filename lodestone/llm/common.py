@@ -38,6 +38,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, *more: Column) -> DataFrame:
+    """All of df in one struct, __row, beside what is computed from it: no column of df can clash with it."""
+    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("__row"), *more)
+
+
+def unpacked(df: DataFrame, names: list[str], **changed: Column) -> DataFrame:
+    """The columns that packed() took, with some replaced."""
+    return df.select(*[changed.get(c, F.col("__row").getField(c)).alias(c) for c in names])
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; empty for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")

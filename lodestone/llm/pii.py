@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import packed, saved, unpacked
 
 KINDS = ("email", "ip", "card", "phone", "id")
 #: The base patterns, with possessive repeats and a start only where a match can start, so that a scan is linear.
@@ -182,6 +182,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broa
     if spans.limit(broadcast_rows + 1).count() <= broadcast_rows:
         spans = F.broadcast(spans)
     text = F.col(text_col)
-    keyed = docs.select("*", F.col(id_col).alias("__id"), F.xxhash64(text, F.lit(1)).alias("__k1"), F.xxhash64(F.lit(2), text).alias("__k2"))
+    keyed = packed(docs, text.alias("__t"), F.col(id_col).alias("__id"), F.xxhash64(text, F.lit(1)).alias("__k1"), F.xxhash64(F.lit(2), text).alias("__k2"))
     match = (F.col("__k1") == F.col("__r1")) & (F.col("__k2") == F.col("__r2")) & F.col("__id").eqNullSafe(F.col("__rid"))
-    return keyed.join(spans, match, "left").withColumn(text_col, F.when(F.col("__all").isNull(), text).otherwise(masked(text, F.col("__all")))).select(*names)
+    new = F.when(F.col("__all").isNull(), F.col("__t")).otherwise(masked(F.col("__t"), F.col("__all")))
+    return unpacked(keyed.join(spans, match, "left"), names, **{text_col: new})
