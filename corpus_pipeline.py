@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, langid, mixing, pii, similar
-from lodestone.llm.common import saved
+from lodestone.llm.common import packed, saved, unpacked
 
 #: Documents whose language is less certain than this are rejected.
 MIN_LANGUAGE_SCORE = 0.2
@@ -19,8 +19,8 @@ MIN_LANGUAGE_SCORE = 0.2
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those without a letter, or without any language of some certainty, go."""
     model = langid.train(langid.training_rows(docs))
-    found = docs.withColumn("__language", langid.language(model, F.col("text"), docs))
-    return found.filter((F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    found = packed(docs, langid.language(model, F.col("text"), docs).alias("__language"))
+    return unpacked(found.filter((F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= MIN_LANGUAGE_SCORE)), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
