@@ -25,8 +25,9 @@ from . import shingles as S
 from .common import saved
 
 PERCENT = 80
-#: Members that this many sets of one input partition hold are candidates for the end of the order, up to MOST of them.
-LOCAL, FREQUENT, MOST = 4, 32, 1_000_000
+#: Members that LOCAL sets among about POOL members of one task hold, FREQUENT in all, go to the end of the order, up to MOST
+#: of them.  The order only decides how large tiles get, never what is found.
+POOL, LOCAL, FREQUENT, MOST = 4_000_000, 4, 32, 1_000_000
 #: A frequent member's tile is dealt to sub-tiles of about so many sets; blocks of a tile hold about so many.
 SUBTILE, BLOCK = 50_000, 256
 BROADCAST_IDS = 1_000_000
@@ -49,35 +50,42 @@ def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
 def digests(docs: DataFrame, id_type: str) -> DataFrame:
     """A row per document (kind 0: id, n, s1, s2, bits), and rows of locally frequent members (kind 1: s1 member, s2 count)."""
 
+    def often(pool: list[np.ndarray], id_kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        members = np.sort(np.concatenate(pool))
+        edges = np.flatnonzero(np.concatenate(([True], members[1:] != members[:-1], [True]))) if len(members) else np.zeros(1, np.int64)
+        counts = np.diff(edges)
+        found, counts = members[edges[:-1]][counts >= LOCAL], counts[counts >= LOCAL]
+        for at in range(0, len(found), 50_000):
+            k = len(found[at : at + 50_000])
+            yield pa.record_batch(
+                [pa.array(np.ones(k, np.int32)), pa.nulls(k, id_kind), pa.nulls(k, pa.int64()), pa.array(found[at : at + k].view(np.int64)), pa.array(counts[at : at + k].astype(np.int64)), pa.nulls(k, pa.binary())],
+                names=["kind", "id", "n", "s1", "s2", "bits"],
+            )
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool: list[np.ndarray] = []
+        held, id_kind = 0, None
         for batch, texts in _batches(rows):
             sets = S.shingle_sets(texts)
             names = [S.signature(s) for s in sets]
-            pool.append(np.concatenate(sets) if sets else np.zeros(0, np.uint64))
-            n = len(sets)
+            n, id_kind = len(sets), batch.column("__id").type
             yield pa.record_batch(
                 [pa.array(np.zeros(n, np.int32)), batch.column("__id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in names], pa.int64()), pa.array([b for _, b in names], pa.int64()), pa.array([S.bitmap(s) for s in sets], pa.binary())],
                 names=["kind", "id", "n", "s1", "s2", "bits"],
             )
+            pool += sets
+            held += sum(map(len, sets))
+            if held > POOL:
+                yield from often(pool, id_kind)
+                pool, held = [], 0
         if pool:
-            members = np.sort(np.concatenate(pool))
-            edges = np.flatnonzero(np.concatenate(([True], members[1:] != members[:-1], [True]))) if len(members) else np.zeros(1, np.int64)
-            counts = np.diff(edges)
-            often = counts >= LOCAL
-            found, counts = members[edges[:-1]][often], counts[often]
-            for at in range(0, len(found), 50_000):
-                k = len(found[at : at + 50_000])
-                yield pa.record_batch(
-                    [pa.array(np.ones(k, np.int32)), pa.nulls(k, batch.column("__id").type), pa.nulls(k, pa.int64()), pa.array(found[at : at + k].view(np.int64)), pa.array(counts[at : at + k].astype(np.int64)), pa.nulls(k, pa.binary())],
-                    names=["kind", "id", "n", "s1", "s2", "bits"],
-                )
+            yield from often(pool, id_kind)
 
     return docs.mapInArrow(run, f"kind int, id {id_type}, n long, s1 long, s2 long, bits binary")
 
 
 def tiles(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
-    """Rows (deal, member, node): the prefix of each set; deal spreads the sub-tiles of very frequent members."""
+    """Rows (deal, member, node): the prefix of each set; deal is 0, or names a sub-tile of a very frequent member from 1."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +104,7 @@ def tiles(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int
                 at = np.minimum(np.searchsorted(often, s), max(0, len(often) - 1))
                 rank = np.where(often[at] == s, times[at], 0) if len(often) else np.zeros(len(s), np.int64)
                 chosen = np.lexsort((s, rank))[: prefix_size(len(s), percent)]
-                deals.append(np.where(rank[chosen] > SUBTILE, node % (1 + rank[chosen] // SUBTILE), 0))
+                deals.append(np.where(rank[chosen] > SUBTILE, 1 + node % (1 + rank[chosen] // SUBTILE), 0))
                 members.append(s[chosen].view(np.int64))
                 nodes.append(np.full(len(chosen), node, np.int64))
             if nodes:
