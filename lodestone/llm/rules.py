@@ -2,7 +2,8 @@
 
 Two histograms per document, characters by class and words by a short list of common words, are compared with the summed
 histograms of each language; the nearest language counts.  Documents under a minimum of words are not judged by distance.
-References are sums over all documents of the listed languages that pass the base rules.
+References are sums over all documents of the listed languages that pass the base rules and are no far outliers from
+the sums with outliers.
 Null text counts as empty (0 words: base_failed).  Repeated rows get equal rows.  Without any reference nothing is
 rejected by distance.  DataFrame operations only; a row needs memory in proportion to its text.
 """
@@ -25,7 +26,7 @@ WORDS = tuple(w for words in COMMON.values() for w in words)
 #: Classes of characters, each as the body of a regular expression's set.
 CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{N}", r"\x20\x09-\x0D", r".,;:'\x22()-", r"#*$%&|<>")
 MIN_WORDS, MIN_COMMON = 50, 8
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.27, 0.75
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MAX_ROUGH_DISTANCE = 0.27, 0.75, 0.4
 WINDOW = 5
 
 
@@ -93,19 +94,22 @@ def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     return out
 
 
+def nearest(shares: str, known: dict[str, tuple[list[float], list[float]]], at: int) -> Column:
+    """Distance to the nearest language; null if there is none."""
+    all_ = [distance(F.col(shares), known[k][at]) for k in sorted(known)]
+    return F.least(*all_) if len(all_) > 1 else all_[0] if all_ else F.lit(None).cast("double")
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """doc_id, base counts, base_failed, kept and the two distances for every row."""
     rows = saved(measured(docs, id_col, text_col, lang_col), "rules")
-    known = references(rows)
-
-    def nearest(column: str, at: int) -> Column:
-        all_ = [distance(F.col(column), known[k][at]) for k in sorted(known)]
-        return F.least(*all_) if len(all_) > 1 else all_[0] if all_ else F.lit(None).cast("double")
-
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     df = rows.withColumn("base_failed", base_failed()).withColumn("__classes_n", total("__classes")).withColumn("__common_n", total("__common"))
     df = df.withColumn("__class_shares", normalised("__classes")).withColumn("__word_shares", normalised("__common"))
-    df = df.withColumn("class_distance", nearest("__class_shares", 0)).withColumn("word_distance", nearest("__word_shares", 1))
+    rough = references(df)
+    # junk that passes the base rules would draw the references towards itself, so far outliers are left out of the final ones
+    known = references(df.filter(nearest("__class_shares", rough, 0) <= MAX_ROUGH_DISTANCE)) or rough
+    df = df.withColumn("class_distance", nearest("__class_shares", known, 0)).withColumn("word_distance", nearest("__word_shares", known, 1))
     common = F.col("__common_n")
     far = (F.col("class_distance") > MAX_CLASS_DISTANCE) | ((common >= MIN_COMMON) & (F.col("word_distance") > MAX_WORD_DISTANCE))
     kept = ~F.col("base_failed") & ((F.col("n_words") < MIN_WORDS) | ~F.coalesce(far, F.lit(False)))
