@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 
@@ -98,16 +99,8 @@ class WarcReader(DataSourceReader):
         self.payload = str(options.get("payload", "true")).lower() == "true"
         self.verify = str(options.get("verify", "false")).lower() == "true"
         self.size = int(options.get("partitionbytes", options.get("partitionBytes", PARTITION_BYTES)))
-        self.wanted: dict[str, set] = {}
-
-    def pushFilters(self, filters):
-        for f in filters:
-            column = f.attribute[0] if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
-            if column in ("record_type", "page_id", "url", "payload_digest"):
-                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.wanted[column] = self.wanted.get(column, values) & values
-            else:
-                yield f
+        #: Column to the values that are wanted; records with others are skipped unread.
+        self.wanted: dict[str, set] = {k: set(v) for k, v in json.loads(options.get("where", "{}")).items()}
 
     def _store(self):
         from pyarrow import fs
@@ -187,6 +180,23 @@ class WarcReader(DataSourceReader):
         return {"page_id": number(head.get("warc-record-id")), "url": head.get("warc-target-uri"), "record_type": head.get("warc-type"), "payload_digest": head.get("warc-payload-digest", "").removeprefix("sha1:"), "refers_to": number(head.get("warc-refers-to"))}
 
 
+class PushingReader(WarcReader):
+    """Takes equality and membership filters of the query too.
+
+    Spark keeps what was pushed with the DataFrame that was read, and a later query of the same DataFrame without filters
+    would see it; so this reader is for DataFrames that serve one query, and has to be asked for (pushdown=true).
+    """
+
+    def pushFilters(self, filters):
+        for f in filters:
+            column = f.attribute[0] if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
+            if column in ("record_type", "page_id", "url", "payload_digest"):
+                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.wanted[column] = self.wanted.get(column, values) & values
+            else:
+                yield f
+
+
 class WarcSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -196,13 +206,14 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> WarcReader:
-        return WarcReader(self.options)
+        return (PushingReader if str(self.options.get("pushdown", "false")).lower() == "true" else WarcReader)(self.options)
 
 
-def read_warc(spark: SparkSession, path: str, **options) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, where: dict[str, list] | None = None, **options) -> DataFrame:
+    """Records of an archive.  where: wanted values of record_type, page_id, url or payload_digest, applied to headers."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
-    reader = spark.read.format("warc").option("path", path)
+    reader = spark.read.format("warc").option("path", path).option("where", json.dumps(where or {}))
     for k, v in options.items():
         reader = reader.option(k, str(v).lower())
     return reader.load()
