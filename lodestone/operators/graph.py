@@ -167,15 +167,19 @@ def ranked(df: DataFrame, *order: str) -> DataFrame:
     return parts.withColumn("__own", own).join(offsets, "__part").withColumn("__rank", F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
 
 
-def from_edges(edges: DataFrame, vertices: DataFrame | None = None, labeling: str = "ve", **options) -> Graph:
+def from_edges(edges: DataFrame, vertices: DataFrame | None = None, labeling: str = "ve", packed: bool = False, **options) -> Graph:
     """A graph of any edges (u, v[, labels]) and vertices (id[, labels or label]); ids of edges are ranks by (src, dst).
 
-    Self loops go; edges given twice count once, their labels united.
+    Self loops go; edges given twice count once, their labels united.  packed, for vertex ids below 2^31, makes ids of the
+    two ends instead: the same order, without a sort of all edges.
     """
     marks = F.coalesce(F.col("labels"), F.array().cast("array<int>")) if "labels" in edges.columns else F.array().cast("array<int>")
     pairs = edges.filter("u <> v").select(F.least("u", "v").cast("long").alias("src"), F.greatest("u", "v").cast("long").alias("dst"), marks.alias("labels"))
     single = pairs.groupBy("src", "dst").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"))
-    numbered = ranked(single, "src", "dst").select(F.col("__rank").alias("id"), "src", "dst", "labels")
+    if packed:
+        numbered = single.select((F.shiftleft("src", 32) + F.col("dst")).alias("id"), "src", "dst", "labels")
+    else:
+        numbered = ranked(single, "src", "dst").select(F.col("__rank").alias("id"), "src", "dst", "labels")
     if vertices is None:
         ids = single.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
         return Graph(ids.withColumn("labels", F.array(F.lit(1))), numbered, labeling, **options)
