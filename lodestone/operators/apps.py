@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.pattern import Pattern, edge_patterns, from_mask, vertex_patterns
 from .frontier import Frontier, match
 from .graph import Graph
+from .store import kept
 
 Sample = tuple[float, int] | None
 
@@ -183,7 +184,7 @@ def query_by_edges(graph: Graph, p: Pattern) -> Frontier:
         labels = labels if p.labels is not None else F.array().cast("array<int>")
         tagged = f.df.withColumn("__m", mask).withColumn("__l", labels)
         good = tagged.select("__m", "__l").distinct().filter(canonical_key(F.col("__m"), F.col("__l"), f.k, "edge").isin(*keys))
-        f = Frontier(graph, tagged.join(good, ["__m", "__l"], "left_semi").drop("__m", "__l"), "edge", f.k)
+        f = Frontier(graph, kept(tagged.join(good, ["__m", "__l"], "left_semi").drop("__m", "__l")), "edge", f.k)
     return f
 
 

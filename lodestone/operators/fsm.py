@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.pattern import Pattern, extend_by_edge, parse
 from .frontier import Frontier, canonical_positions, match
 from .graph import Graph
+from .store import kept
 
 RESULT = "pattern string, support long, n long"
 
@@ -47,14 +48,14 @@ def frequent_subgraphs(graph: Graph, min_support: int, max_edges: int = 10, stra
     found: list[DataFrame] = []
     f = Frontier.edges(graph).extend(1)
     for level in range(1, max_edges + 1):
-        placed = _placed(f, labelled).persist()
-        good = mni(placed).filter(F.col("support") >= min_support).persist()
+        placed = kept(_placed(f, labelled))
+        good = kept(mni(placed).filter(F.col("support") >= min_support))
         if not good.limit(1).count():
             break
         found.append(good)
         if level < max_edges:
-            kept = placed.join(F.broadcast(good.select("pattern")), "pattern", "left_semi").select(*f.df.columns)
-            f = Frontier(graph, kept, "edge", level).extend(1)
+            rows = placed.join(F.broadcast(good.select("pattern")), "pattern", "left_semi").select(*f.df.columns)
+            f = Frontier(graph, rows, "edge", level).extend(1)
     return reduce(DataFrame.unionByName, found) if found else graph.spark.createDataFrame([], RESULT)
 
 
@@ -85,7 +86,7 @@ def _by_patterns(graph: Graph, min_support: int, max_edges: int, strategy: str,
     for m in range(1, max_edges + 1):
         if not level:
             break
-        all_ = pattern_support(graph, level, strategy).filter(F.col("support") >= min_support).persist()
+        all_ = kept(pattern_support(graph, level, strategy).filter(F.col("support") >= min_support))
         keys = {r.pattern for r in all_.select("pattern").collect()}
         infrequent |= {p.key() for p in level} - keys
         if not keys:
@@ -113,13 +114,13 @@ def database_frequent(graph: Graph, index: DataFrame, min_ratio: float, max_edge
     found: list[DataFrame] = []
     f = Frontier.edges(graph).extend(1)
     for level in range(1, max_edges + 1):
-        placed = _placed(f, labelled).persist()
+        placed = kept(_placed(f, labelled))
         seen = placed.select("pattern", "a0").join(ids, "a0").select("pattern", "graph_id").distinct()
-        good = seen.groupBy("pattern").agg(F.count("*").alias("graphs")).withColumn("ratio", F.col("graphs") / F.lit(total)).filter(F.col("ratio") >= min_ratio).persist()
+        good = kept(seen.groupBy("pattern").agg(F.count("*").alias("graphs")).withColumn("ratio", F.col("graphs") / F.lit(total)).filter(F.col("ratio") >= min_ratio))
         if not good.limit(1).count():
             break
         found.append(good)
         if level < max_edges:
-            kept = placed.join(F.broadcast(good.select("pattern")), "pattern", "left_semi").select(*f.df.columns)
-            f = Frontier(graph, kept, "edge", level).extend(1)
+            rows = placed.join(F.broadcast(good.select("pattern")), "pattern", "left_semi").select(*f.df.columns)
+            f = Frontier(graph, rows, "edge", level).extend(1)
     return reduce(DataFrame.unionByName, found) if found else graph.spark.createDataFrame([], "pattern string, graphs long, ratio double")

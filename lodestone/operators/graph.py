@@ -9,6 +9,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .store import kept
+
 VERTICES = "id long, labels array<int>"
 EDGES = "id long, src long, dst long, labels array<int>"
 
@@ -19,6 +21,7 @@ class Graph:
 
     labeling says which labels count: v, e, ve or n; a label that does not count is 1 for vertices and 0 for edges.
     broadcast_edges bounds the adjacency that is sent to every executor; a larger one is joined by shuffle.
+    Derived tables are kept when first used: every level of a mining query joins one of them again.
     """
 
     vertices: DataFrame
@@ -39,7 +42,7 @@ class Graph:
     def vertex_label(self) -> DataFrame:
         """v, label: the first label."""
         label = F.coalesce(F.get("labels", F.lit(0)), F.lit(1)) if "v" in self.labeling else F.lit(1)
-        return self.vertices.select(F.col("id").alias("v"), label.cast("int").alias("label"))
+        return kept(self.vertices.select(F.col("id").alias("v"), label.cast("int").alias("label")))
 
     @cached_property
     def edge_label(self) -> DataFrame:
@@ -73,7 +76,7 @@ class Graph:
     def adjacency(self) -> DataFrame:
         """v, label, nb: neighbours in rising order; isolated vertices have none."""
         near = self.arcs.groupBy("v").agg(F.array_sort(F.collect_set("nb")).alias("nb"))
-        return self.vertex_label.join(near, "v", "left").withColumn("nb", F.coalesce("nb", F.array().cast("array<bigint>")))
+        return kept(self.vertex_label.join(near, "v", "left").withColumn("nb", F.coalesce("nb", F.array().cast("array<bigint>"))))
 
     @cached_property
     def marked_adjacency(self) -> DataFrame:
@@ -82,18 +85,18 @@ class Graph:
         near = self.arcs.groupBy("v").agg(F.sort_array(F.collect_list(item)).alias("all"))
         near = near.select("v", F.col("all.nb").alias("nb"), F.col("all.marks").alias("marks"))
         out = self.vertex_label.join(near, "v", "left")
-        return out.withColumn("nb", F.coalesce("nb", F.array().cast("array<bigint>"))).withColumn("marks", F.coalesce("marks", F.array().cast("array<array<int>>")))
+        return kept(out.withColumn("nb", F.coalesce("nb", F.array().cast("array<bigint>"))).withColumn("marks", F.coalesce("marks", F.array().cast("array<array<int>>"))))
 
     @cached_property
     def incidence(self) -> DataFrame:
         """v, around: edges at a vertex as (eid, nb, the neighbour's label), by edge id."""
         far = self.vertex_label.select(F.col("v").alias("nb"), F.col("label").alias("far"))
         arcs = self.arcs.select("v", "nb", "eid").join(far, "nb")
-        return arcs.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("eid", "nb", "far"))).alias("around"))
+        return kept(arcs.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("eid", "nb", "far"))).alias("around")))
 
     @cached_property
     def degrees(self) -> DataFrame:
-        return self.vertex_label.join(self.arcs.groupBy("v").agg(F.count_distinct("nb").alias("d")), "v", "left").select("v", "label", F.coalesce("d", F.lit(0)).cast("long").alias("degree"))
+        return kept(self.vertex_label.join(self.arcs.groupBy("v").agg(F.count_distinct("nb").alias("d")), "v", "left").select("v", "label", F.coalesce("d", F.lit(0)).cast("long").alias("degree")))
 
     @cached_property
     def upward(self) -> DataFrame:
@@ -103,7 +106,7 @@ class Graph:
         later = F.struct("far", "nb") > F.struct("degree", "v")
         lists = arcs.groupBy("v").agg(F.array_sort(F.collect_list(F.when(later, F.col("nb")))).alias("up"), F.array_sort(F.collect_list("nb")).alias("nb"))
         none = F.array().cast("array<bigint>")
-        return self.vertex_label.join(lists, "v", "left").select("v", "label", F.coalesce("up", none).alias("up"), F.coalesce("nb", none).alias("nb"))
+        return kept(self.vertex_label.join(lists, "v", "left").select("v", "label", F.coalesce("up", none).alias("up"), F.coalesce("nb", none).alias("nb")))
 
     def label_frequencies(self) -> DataFrame:
         return self.vertex_label.groupBy("label").agg(F.count("*").alias("n"))
@@ -149,10 +152,15 @@ class Graph:
     def edges_between(self, u: int, v: int) -> DataFrame:
         return self.edges.filter((F.col("src") == min(u, v)) & (F.col("dst") == max(u, v)))
 
-    def persist(self) -> Graph:
-        self.vertices.persist()
-        self.edges.persist()
-        return self
+    def kept(self) -> Graph:
+        """The same graph with both tables computed once."""
+        return replace(self, vertices=kept(self.vertices), edges=kept(self.edges))
+
+    def neighbours(self, v: int) -> DataFrame:
+        return self.arcs.filter(F.col("v") == v).select("nb").distinct()
+
+    def edges_between(self, u: int, v: int) -> DataFrame:
+        return self.edges.filter((F.col("src") == min(u, v)) & (F.col("dst") == max(u, v)))
 
 
 def ranked(df: DataFrame, *order: str) -> DataFrame:
@@ -160,7 +168,8 @@ def ranked(df: DataFrame, *order: str) -> DataFrame:
 
     Range partitions are ranked apart and shifted by the counts before them, so no task sees all rows.
     """
-    parts = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    # kept, since both uses below must see one and the same choice of ranges
+    parts = kept(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     own = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
@@ -177,11 +186,11 @@ def from_edges(edges: DataFrame, vertices: DataFrame | None = None, labeling: st
     pairs = edges.filter("u <> v").select(F.least("u", "v").cast("long").alias("src"), F.greatest("u", "v").cast("long").alias("dst"), marks.alias("labels"))
     single = pairs.groupBy("src", "dst").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"))
     if packed:
-        numbered = single.select((F.shiftleft("src", 32) + F.col("dst")).alias("id"), "src", "dst", "labels")
+        numbered = kept(single.select((F.shiftleft("src", 32) + F.col("dst")).alias("id"), "src", "dst", "labels"))
     else:
-        numbered = ranked(single, "src", "dst").select(F.col("__rank").alias("id"), "src", "dst", "labels")
+        numbered = kept(ranked(single, "src", "dst").select(F.col("__rank").alias("id"), "src", "dst", "labels"))
     if vertices is None:
-        ids = single.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+        ids = numbered.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
         return Graph(ids.withColumn("labels", F.array(F.lit(1))), numbered, labeling, **options)
     labels = F.col("labels") if "labels" in vertices.columns else F.array(F.col("label").cast("int")) if "label" in vertices.columns else F.array(F.lit(1))
     return Graph(vertices.select(F.col("id").cast("long").alias("id"), labels.alias("labels")), numbered, labeling, **options)

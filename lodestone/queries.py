@@ -28,7 +28,7 @@ def copurchase(spark: SparkSession, sf_dir: str, quantity: int = 40, all_parts:
     pairs = items.select("l_orderkey", F.col("l_partkey").alias("u")).join(items.select("l_orderkey", F.col("l_partkey").alias("v")), "l_orderkey").filter("u < v").select("u", "v").distinct()
     label = F.substring("p_brand", 7, 1).cast("int")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), label.alias("label"))
-    return from_edges(pairs.persist(), parts, "v", packed=True)
+    return from_edges(pairs, parts, "v", packed=True)
 
 
 def trade(spark: SparkSession, sf_dir: str) -> Graph:

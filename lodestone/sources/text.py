@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import Graph, from_edges, ranked
 
-PART = F.coalesce(F.nullif(F.regexp_extract("__file", r"part-(\d+)", 1), F.lit("")).cast("long"), F.lit(0))
+
+
+def part_number() -> Column:
+    return F.coalesce(F.nullif(F.regexp_extract("__file", r"part-(\d+)", 1), F.lit("")).cast("long"), F.lit(0))
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame | None:
@@ -28,7 +31,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame | None:
         raise
     # a line end closes a line, so the last one leaves nothing behind it
     body = F.regexp_replace("value", r"\r?\n\z", "")
-    lines = files.filter(F.length("value") > 0).select(PART.alias("__part"), "__file", F.split(body, r"\r?\n").alias("all"))
+    lines = files.filter(F.length("value") > 0).select(part_number().alias("__part"), "__file", F.split(body, r"\r?\n").alias("all"))
     before = Window.orderBy("__part", "__file").rowsBetween(Window.unboundedPreceding, -1)
     starts = lines.select("__part", "__file", F.size("all").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("__file", "start")
     each = lines.select("__file", F.posexplode("all").alias("at", "value"))

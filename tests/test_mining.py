@@ -26,7 +26,7 @@ def make(spark, edges, labels, labeling="v", marks=None, **options):
 @pytest.fixture(scope="module")
 def cube(spark):
     g = make(spark, CUBE, CUBE_LABELS)
-    return g.persist()
+    return g.kept()
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +35,7 @@ def noisy(spark):
     edges = [(i, j) for j in range(12) for i in range(j) if rng.random() < 0.35]
     labels = [rng.randint(1, 3) for _ in range(12)]
     marks = {e: sorted(rng.sample(range(10), 4)) for e in edges}
-    return make(spark, edges, labels, marks=marks).persist(), edges, labels, marks
+    return make(spark, edges, labels, marks=marks).kept(), edges, labels, marks
 
 
 def induced(edges, n, k):
