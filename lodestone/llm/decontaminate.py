@@ -13,11 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import count_runs, packed, saved, unpacked
 
 #: Fixed value: what a normalised word may hold.
-TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+NO_TOKEN = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
+NO_ANY_CASE = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+ANY_CASE = f"[^{NO_ANY_CASE}]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 13
 BROADCAST_WINDOWS = 500_000
@@ -30,7 +31,11 @@ def ascii_lower(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), f"[{NO_TOKEN}]+"), "")
+
+
+def n_tokens(text: Column) -> Column:
+    return count_runs(text, f"^{NO_ANY_CASE}", NO_ANY_CASE)
 
 
 def key(text: Column) -> tuple[Column, Column]:
@@ -98,7 +103,7 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs."""
     found = find_hits(docs, benchmark, id_col, text_col, item_col, item_text_col)
     text = F.col(text_col)
-    all_ = docs.select(F.col(id_col).alias("__id"), *key(text), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(ANY_CASE)).cast("long").alias("n_words"))
+    all_ = docs.select(F.col(id_col).alias("__id"), *key(text), n_tokens(text).alias("n_words"))
     out = _joined(all_, found).withColumn("n_hit", F.coalesce(words_hit(F.col("__spans")), F.lit(0).cast("long")))
     items = F.coalesce(F.col("__items"), F.array().cast("array<string>"))
     return out.select(
@@ -123,8 +128,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     found = saved(find_hits(docs, benchmark, id_col, text_col, item_col, item_text_col), "hits")
     small = found.limit(BROADCAST_DOCS + 1).count() <= BROADCAST_DOCS
     text = F.col(text_col)
-    out = _joined(docs.select("*", F.col(id_col).alias("__id"), *key(text)), found.drop("__items"), small)
+    out = _joined(packed(docs, text.alias("__t"), F.col(id_col).alias("__id"), *key(text)), found.drop("__items"), small)
     n_hit = F.coalesce(words_hit(F.col("__spans")), F.lit(0).cast("long"))
-    n_words = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(ANY_CASE))
-    out = out.filter((n_hit == 0) | (20 * n_hit < n_words))
-    return out.withColumn(text_col, F.when(F.col("__spans").isNull(), text).otherwise(without_spans(text, F.col("__spans")))).select(*docs.columns)
+    out = out.filter((n_hit == 0) | (20 * n_hit < n_tokens(F.col("__t"))))
+    new = F.when(F.col("__spans").isNull(), F.col("__t")).otherwise(without_spans(F.col("__t"), F.col("__spans")))
+    return unpacked(out, docs.columns, **{text_col: new})
