@@ -288,13 +288,13 @@ def fsm_2edge_by_pattern(spark, sf):
 @register(
     f"""WITH {E}, {L}, x AS (SELECT DISTINCT least(p.label, q.label) AS lo, greatest(p.label, q.label) AS hi, r.p_size AS graph_id FROM e JOIN l p ON p.v = e.u JOIN l q ON q.v = e.v
   JOIN part r ON r.p_partkey = e.u JOIN part s ON s.p_partkey = e.v WHERE r.p_size = s.p_size)
- SELECT concat(lo, ',', hi) AS labels, count(*) AS graphs FROM x GROUP BY 1 HAVING count(*) >= 0.5 * (SELECT count(DISTINCT p_size) FROM part)"""
+ SELECT concat(lo, ',', hi) AS labels, count(*) AS graphs FROM x GROUP BY 1 HAVING count(*) >= 0.06 * (SELECT count(DISTINCT p_size) FROM part)"""
 )
 def database_fsm(spark, sf):
     g = copurchase(spark, sf)
     index = table(spark, sf, "part").select(F.col("p_partkey").alias("vertex"), F.col("p_size").alias("graph_id"))
     same = g.edges.join(index.select(F.col("vertex").alias("src"), F.col("graph_id").alias("a")), "src").join(index.select(F.col("vertex").alias("dst"), F.col("graph_id").alias("b")), "dst").filter("a = b")
-    found = fsm.database_frequent(Graph(g.vertices, same.select("id", "src", "dst", "labels"), "v"), index, 0.5, 1)
+    found = fsm.database_frequent(Graph(g.vertices, same.select("id", "src", "dst", "labels"), "v"), index, 0.06, 1)
     return found.select(F.array_join(F.array_sort(F.split(F.split("pattern", ";")[1], ",")), ",").alias("labels"), "graphs")
 
 
