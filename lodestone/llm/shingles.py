@@ -122,8 +122,8 @@ def signature(grams: np.ndarray) -> tuple[int, int]:
 
 
 def bitmap(grams: np.ndarray) -> bytes:
-    """Hashed bitmap of a set: a power of two of bits, at least as many as members, 64 to 65536."""
-    bits = 1 << min(16, max(6, int(len(grams) - 1).bit_length())) if len(grams) else 64
+    """Hashed bitmap of a set: a power of two of bits, over twice as many as members, 256 to 65536."""
+    bits = 1 << min(16, max(8, int(2 * len(grams)).bit_length()))
     flags = np.zeros(bits, dtype=np.uint8)
     flags[(grams & U(bits - 1)).astype(np.int64)] = 1
     return np.packbits(flags).tobytes()

@@ -4,7 +4,8 @@ Equal sets become one class.  Two sets with Jaccard similarity of at least t sha
 members in any common order (prefix filter); members that many sets hold come last in the order, so they seldom count.
 A tile is what shares such a member.  First each tile's members are paired with the tile's first only, and what proves
 similar is united: that settles groups of copies without all their pairs.  Then tiles that still hold several groups are
-cut into blocks by size band; bitmaps bound the overlap of pairs between groups, and what passes is intersected.
+cut into blocks by size band; bitmaps bound the overlap of pairs between groups, and what passes is intersected, first
+along stars only, then between all groups that are left.
 No pair of different texts is lost: every pair that shares a tile is either in one group already or compared.
 
 Null texts and texts without words have the empty set, size 0, and are linked with nothing.  Repeated rows are in one
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles as S
@@ -159,24 +160,42 @@ def shared_tiles(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "member long, deal int, first long, node long")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that are similar: bounds from bitmaps first, then exact intersection of their sets."""
-    side = lambda k: classes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"), F.col("rep").alias(f"rep_{k}"))
-    sized = pairs.join(classes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(classes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-    fit = sized.filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))).select("a", "b")
+def needed_tiles(rows: DataFrame) -> DataFrame:
+    """rows (member, deal, first, node) without tiles that lie whole within another.
 
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    If all sets of a tile have the same member as their first shared one, or as the one or two before the tile's own, they
+    all are in that member's tile, and the tile adds no pair.  That member comes earlier, so chains of such tiles end.
+    """
+    by_node = Window.partitionBy("node").orderBy("member")
+    near = rows.select("member", "node").withColumn("p1", F.lag("member", 1).over(by_node)).withColumn("p2", F.lag("member", 2).over(by_node)).withColumn("p0", F.first("member").over(by_node))
+    same = lambda c: (F.count(c) == F.count("*")) & (F.min(c) == F.max(c))
+    within = same("p1") | same("p2") | (same("p0") & (F.min("p0") < F.first("member")))
+    needed = near.groupBy("member").agg(F.coalesce(within, F.lit(False)).alias("within")).filter("not within").select("member")
+    return rows.join(needed, "member", "left_semi")
+
+
+def bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sizes and bitmaps do not exclude that they are similar."""
+    sizes = lambda k: classes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"))
+    bits = lambda k: classes.select(F.col("node").alias(k), F.col("bits").alias(f"bits_{k}"))
+    fit = pairs.join(sizes("a"), "a").join(sizes("b"), "b").filter((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_a, n_b, x, y = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b"))
             keep = pa.array([S.similar(S.most_shared(p, i, q, j), i, j, percent) for i, j, p, q in zip(n_a, n_b, x, y, strict=True)], pa.bool_())
-            yield batch.select(["a", "b", "rep_a", "rep_b"]).filter(keep)
+            yield batch.select(["a", "b"]).filter(keep)
+
+    return fit.join(bits("a"), "a").join(bits("b"), "b").mapInArrow(run, "a long, b long")
 
-    rep = classes.schema["rep"].dataType.simpleString()
-    near = saved(fit.join(side("a"), "a").join(side("b"), "b").mapInArrow(bounded, f"a long, b long, rep_a {rep}, rep_b {rep}"), "near")
-    ids = saved(near.select(F.col("rep_a").alias("__id")).union(near.select("rep_b")).distinct(), "ids")
+
+def verified(near: DataFrame, classes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that are similar, by exact intersection; sets are made only of the nodes in pairs."""
+    near = saved(near, "near")
+    ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+    ids = saved(classes.select("node", "rep").join(ends, "node", "left_semi").select(F.col("rep").alias("__want")).distinct(), "ids")
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    ids = ids.withColumnRenamed("__id", "__want")
     wanted = docs.join(ids, F.col("__id").eqNullSafe(F.col("__want")), "left_semi")
 
     def to_sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,8 +203,6 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
             sets = [s for s in S.shingle_sets(texts) if len(s)]
             yield pa.record_batch([pa.array([S.signature(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "grams"])
 
-    sets = saved(wanted.mapInArrow(to_sets, "node long, grams binary").dropDuplicates(["node"]), "sets")
-
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
@@ -195,7 +212,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int
                 keep.append(S.similar(S.shared(p, q), len(p), len(q), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    both = near.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    # sets repeat only where rows of one id hold different texts
+    sets = saved(wanted.mapInArrow(to_sets, "node long, grams binary"), "sets")
+    both = near.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
     return both.mapInArrow(exact, "a long, b long")
 
 
@@ -215,13 +234,33 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def cross_pairs(shared: DataFrame, grouped: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different groups that share a tile and that sizes and bitmaps cannot exclude."""
+def stars(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Some of the pairs: the one with most partners takes all of them, and so on with what is not yet taken."""
+    near: dict[int, set[int]] = {}
+    for i, j in pairs:
+        near.setdefault(i, set()).add(j)
+        near.setdefault(j, set()).add(i)
+    out, taken = [], set()
+    for i in sorted(near, key=lambda k: (-len(near[k]), k)):
+        if i not in taken or near[i] - taken:
+            out += [(i, j) for j in sorted(near[i]) if j not in taken or i not in taken]
+            taken |= near[i] | {i}
+    return out
+
+
+def cross_pairs(shared: DataFrame, grouped: DataFrame, classes: DataFrame, percent: int, sparse: bool) -> DataFrame:
+    """Pairs of nodes of different groups that share a tile and that sizes and bitmaps cannot exclude.
+
+    sparse: of those of a block only stars that reach every node with a partner, the node with most partners first.
+    """
     rows = shared.select("member", "node").join(grouped, "node")
     mixed = rows.groupBy("member").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("member")
     width = math.log(100 / percent)
     # a band is wide enough for similar sizes to fall in the same or the next one; a band of a tile is dealt to blocks
     banded = rows.join(mixed, "member", "left_semi").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
+    # small tiles are one block
+    whole = rows.join(mixed, "member", "left_semi").groupBy("member").agg(F.count("*").alias("all"))
+    banded = banded.join(whole, "member").withColumn("band", F.when(F.col("all") <= BLOCK, -1).otherwise(F.col("band"))).drop("all")
     counts = banded.groupBy("member", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     after = counts.select("member", (F.col("band") - 1).alias("band"), F.col("blocks").alias("blocks_next"))
     before = counts.select("member", (F.col("band") + 1).alias("band"), F.col("blocks").alias("blocks_last"))
@@ -233,7 +272,8 @@ def cross_pairs(shared: DataFrame, grouped: DataFrame, percent: int) -> DataFram
     within = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: tile(F.col("band"), F.least(F.col("own"), k), F.greatest(F.col("own"), k), 0))
     up = F.when(F.col("blocks_next") > 0, F.transform(F.sequence(F.lit(0), F.col("blocks_next") - 1), lambda k: tile(F.col("band"), F.col("own"), k, 1))).otherwise(none)
     down = F.when(F.col("blocks_last") > 0, F.transform(F.sequence(F.lit(0), F.col("blocks_last") - 1), lambda k: tile(F.col("band") - 1, k, F.col("own"), 1))).otherwise(none)
-    dealt = placed.select("member", "node", "n", "root", "bits", F.explode_outer(F.concat(within, up, down)).alias("t")).select("member", "t.*", "node", "n", "root", "bits")
+    dealt = placed.select("member", "node", "n", "root", F.explode_outer(F.concat(within, up, down)).alias("t")).select("member", "t.*", "node", "n", "root")
+    dealt = dealt.join(classes.select("node", "bits"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, part = None, []
@@ -242,17 +282,29 @@ def cross_pairs(shared: DataFrame, grouped: DataFrame, percent: int) -> DataFram
         def flush() -> None:
             if len(part) < 2:
                 return
-            node, n, root = (np.array([p[k] for p in part], dtype=np.int64) for k in range(3))
-            size = min(len(p[3]) for p in part)
-            bits = np.stack([S.fold(np.frombuffer(p[3], np.uint8), size) for p in part])
+            n, root = (np.array([p[k] for p in part], dtype=np.int64) for k in (1, 2))
+            width = np.array([len(p[3]) for p in part])
+            # sizes that may be similar have bitmaps of one width or of neighbouring ones: all at each width, and at half of it
+            at_width = {}
+            for w in set(width.tolist()):
+                table = np.zeros((len(part), w), dtype=np.uint8)
+                for k in np.flatnonzero((width == w) | (width == 2 * w)):
+                    table[k] = S.fold(np.frombuffer(part[k][3], np.uint8), w)
+                at_width[w] = table
+            pairs = []
             for i in range(len(part) - 1):
                 j = np.arange(i + 1, len(part))
                 j = j[(root[j] != root[i]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))]
-                if len(j):
-                    most = np.minimum(n[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(1, dtype=np.int64), n[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(1, dtype=np.int64))
-                    j = j[100 * most >= percent * (n[i] + n[j] - most)]
-                    out_a.extend(np.minimum(node[i], node[j]).tolist())
-                    out_b.extend(np.maximum(node[i], node[j]).tolist())
+                for w in {int(min(width[i], x)) for x in width[j]}:
+                    k = j[np.minimum(width[i], width[j]) == w]
+                    own, others = at_width[w][i], at_width[w][k]
+                    most = np.minimum(n[i] - np.bitwise_count(own & ~others).sum(1, dtype=np.int64), n[k] - np.bitwise_count(others & ~own).sum(1, dtype=np.int64))
+                    pairs += [(i, int(x)) for x in k[100 * most >= percent * (n[i] + n[k] - most)]]
+            if sparse and len(pairs) > 1:
+                pairs = stars(pairs)
+            for i, j in pairs:
+                out_a.append(min(part[i][0], part[j][0]))
+                out_b.append(max(part[i][0], part[j][0]))
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("member", "band", "i", "j", "across", "node", "n", "root", "bits")]
@@ -283,15 +335,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members, times = found["s1"].to_numpy(dtype=np.int64).view(np.uint64), found["times"].to_numpy(dtype=np.int64)
     order = np.argsort(members)
     classes = saved(rows.filter("n > 0").groupBy(F.col("s1").alias("node")).agg(F.min("__id").alias("rep"), F.min("n").alias("n"), F.min("bits").alias("bits")), "classes")
-    shared = saved(shared_tiles(tiles(slim, (members[order], times[order]), percent)), "tiles")
+    shared = saved(shared_tiles(tiles(slim, (members[order], times[order]), percent)), "shared")
+    shared = saved(needed_tiles(shared), "tiles")
     firsts = shared.filter("deal > 0 or first = node").select("member", "first").distinct()
     heads = firsts.groupBy("member").agg(F.min("first").alias("head"))
     star = shared.filter("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).union(firsts.join(heads, "member").filter("head <> first").select("head", "first"))
     pairs = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = saved(verified(pairs, classes, slim, percent), "star")
-    grouped = saved(components(classes, links).join(classes.select("node", "n", "bits"), "node"), "grouped")
-    more = saved(cross_pairs(shared, grouped, percent), "cross")
-    links = links.union(verified(more, classes, slim, percent))
+    links = saved(verified(bounded(pairs, classes, percent), classes, slim, percent), "star")
+    # stars by bitmaps in each node's first two tiles unite most of what is similar; then every pair that is left, in every tile, is compared
+    by_node = Window.partitionBy("node").orderBy("member")
+    first_two = shared.select("member", "node").withColumn("at", F.row_number().over(by_node)).filter("at <= 2")
+    for sparse in (True, False):
+        grouped = saved(components(classes, links).join(classes.select("node", "n"), "node"), "grouped")
+        links = saved(links.union(verified(cross_pairs(first_two if sparse else shared, grouped, classes, percent, sparse), classes, slim, percent)), "links")
     roots = components(classes, links)
     named = roots.join(classes.select("node", "rep"), "node")
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
