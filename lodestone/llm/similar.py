@@ -336,7 +336,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = np.argsort(members)
     classes = saved(rows.filter("n > 0").groupBy(F.col("s1").alias("node")).agg(F.min("__id").alias("rep"), F.min("n").alias("n"), F.min("bits").alias("bits")), "classes")
     shared = saved(shared_tiles(tiles(slim, (members[order], times[order]), percent)), "shared")
-    shared = saved(needed_tiles(shared), "tiles")
+    for _ in range(2):  # what the first pass drops stood between members that the second can then compare
+        shared = saved(needed_tiles(shared), "tiles")
     firsts = shared.filter("deal > 0 or first = node").select("member", "first").distinct()
     heads = firsts.groupBy("member").agg(F.min("first").alias("head"))
     star = shared.filter("first <> node").select(F.col("first").alias("a"), F.col("node").alias("b")).union(firsts.join(heads, "member").filter("head <> first").select("head", "first"))
