@@ -1,7 +1,9 @@
 """Quality rules: base counts, then the Jensen-Shannon distance of a document's histograms to language references.
 
-Two histograms per document, characters by class and words by a short list of common words, are compared with the summed
-histograms of each language; the nearest language counts.  Documents under a minimum of words are not judged by distance.
+Two histograms per document, characters by class and words by a short list of common words with one bin for all other
+words, are compared with the summed histograms of each language; the nearest language counts.  Documents under a minimum
+of words are not judged by distance.  A text with few or no common words is far from every reference, so long texts in
+languages that are not listed are rejected.
 References are sums over all documents of the listed languages that pass the base rules and are no far outliers from
 the sums with outliers.
 Null text counts as empty (0 words: base_failed).  Repeated rows get equal rows.  Without any reference nothing is
@@ -25,8 +27,8 @@ COMMON = {
 WORDS = tuple(w for words in COMMON.values() for w in words)
 #: Classes of characters, each as the body of a regular expression's set.
 CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{N}", r"\x20\x09-\x0D", r".,;:'\x22()-", r"#*$%&|<>")
-MIN_WORDS, MIN_COMMON = 50, 8
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MAX_ROUGH_DISTANCE = 0.27, 0.75, 0.4
+MIN_WORDS = 50
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MAX_ROUGH_DISTANCE = 0.27, 0.22, 0.4
 WINDOW = 5
 
 
@@ -61,7 +63,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None)
     each = F.array(*[(F.size("__listed") - F.size(F.array_remove("__listed", w))).cast("long") for w in WORDS])
     return df.select(
         "doc_id", "__lang", "n_words", "word_chars", "n_symbols", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
-        F.concat("__seen", F.array(rest)).alias("__classes"), each.alias("__common"),
+        F.concat("__seen", F.array(rest)).alias("__classes"), F.concat(each, F.array((F.size("__words") - F.size("__listed")).cast("long"))).alias("__common"),
     )
 
 
@@ -84,11 +86,11 @@ def distance(shares: Column, reference: list[float]) -> Column:
 
 def references(rows: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     """Language to its normalised class and word histograms; at most one entry for each language of COMMON."""
-    sums = [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, n in (("__classes", len(CLASSES) + 1), ("__common", len(WORDS))) for i in range(n)]
+    sums = [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, n in (("__classes", len(CLASSES) + 1), ("__common", len(WORDS) + 1)) for i in range(n)]
     found = rows.filter(F.col("__lang").isin(*COMMON) & ~base_failed()).groupBy("__lang").agg(*sums).collect()
     out = {}
     for r in found:
-        classes, common = [r[f"__classes{i}"] for i in range(len(CLASSES) + 1)], [r[f"__common{i}"] for i in range(len(WORDS))]
+        classes, common = [r[f"__classes{i}"] for i in range(len(CLASSES) + 1)], [r[f"__common{i}"] for i in range(len(WORDS) + 1)]
         if sum(classes) and sum(common):
             out[r["__lang"]] = [x / sum(classes) for x in classes], [x / sum(common) for x in common]
     return out
@@ -110,7 +112,6 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     # junk that passes the base rules would draw the references towards itself, so far outliers are left out of the final ones
     known = references(df.filter(nearest("__class_shares", rough, 0) <= MAX_ROUGH_DISTANCE)) or rough
     df = df.withColumn("class_distance", nearest("__class_shares", known, 0)).withColumn("word_distance", nearest("__word_shares", known, 1))
-    common = F.col("__common_n")
-    far = (F.col("class_distance") > MAX_CLASS_DISTANCE) | ((common >= MIN_COMMON) & (F.col("word_distance") > MAX_WORD_DISTANCE))
+    far = (F.col("class_distance") > MAX_CLASS_DISTANCE) | (F.col("word_distance") > MAX_WORD_DISTANCE)
     kept = ~F.col("base_failed") & ((F.col("n_words") < MIN_WORDS) | ~F.coalesce(far, F.lit(False)))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "class_distance", "word_distance")

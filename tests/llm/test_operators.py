@@ -98,6 +98,17 @@ def test_rules_reject_junk_and_keep_prose(spark):
     assert sum(kept[i] for i in range(30)) >= 28 and not any(kept[100 + i] for i in range(3))
 
 
+def test_rules_reject_long_texts_without_common_words(spark):
+    rng = random.Random(2)
+    clean = [(i, prose(rng, 150), "en", "a", 1) for i in range(30)]
+    made_up = ["".join(rng.choice("aeiourstlnmdk") for _ in range(rng.randint(3, 8))) + "x" for _ in range(500)]
+    lists = [(100 + i, prose(rng, 150, made_up), "en", "a", 1) for i in range(3)] + [(200, prose(rng, 40, made_up), "en", "a", 1)]
+    got = {r.doc_id: r for r in rules.judge(spark.createDataFrame(clean + lists, SCHEMA)).collect()}
+    assert not any(got[100 + i].base_failed or got[100 + i].kept for i in range(3)) and got[200].kept
+    assert all(got[100 + i].word_distance > rules.MAX_WORD_DISTANCE for i in range(3))
+    assert sum(got[i].kept for i in range(30)) >= 28
+
+
 def test_repeats_are_counted_once_each(spark):
     t = "a b c d e f a b c d e f g " + "z " * 12
     got = rules.judge(spark.createDataFrame([(1, t, "en", "a", 1)], SCHEMA)).first()
