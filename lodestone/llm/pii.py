@@ -1,10 +1,12 @@
 """Personal data: fixed patterns as seeds, then contextual patterns bootstrapped from them.
 
 Base kinds (email, ip, card, phone) are found by regular expressions that scan in linear time.  For the method, every
-token with a digit is an occurrence with a lexical context: the two words before it.  Occurrences that are seeds induce
-contexts; contexts and instances (distinct tokens) form a bipartite graph in which, for a few rounds, a context scores
-by the share of its instances that are trusted and an instance by its best context.  Contexts of high confidence with
-enough distinct seeds mark unseen identifiers (kind id) where they precede them.
+base span is an occurrence, a seed, and so is every token with a digit that touches none, or run of two to seven groups of
+digits joined by spaces or hyphens.  Its lexical context is the two words before it, as far as they lie in the last 80
+characters.  Seeds induce contexts; contexts and instances (distinct entities, whole, whatever separates their groups) form
+a bipartite graph in which, for a few rounds, a context scores by the share of its instances that are trusted and an
+instance by its best context.  Contexts of high confidence with enough distinct seeds mark unseen identifiers (kind id)
+where they precede them.  What has no word before it has no context.
 Positions count code points, ends exclusive.  Null and empty texts have no spans.  Repeated rows get equal results:
 found spans are joined back by id and text.  Ties in start are ordered by kind as listed.  DataFrame operations only.
 """
@@ -22,8 +24,12 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}+"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]*[\x20().0-9-][0-9]"
-#: A token with a digit, between spaces.
-DIGIT_TOKEN = r"(?<![^\x20\x09-\x0D])(?=[^0-9\x20\x09-\x0D]*+[0-9])[^\x20\x09-\x0D]++"
+#: Between spaces: groups of digits joined by spaces or hyphens, the first perhaps after a few letters; or else a token with a digit.
+_GROUP = r"[0-9]++(?:-[0-9]++)*+"
+_GROUPS = rf"[^\p{{L}}\p{{N}}\x20\x09-\x0D+]*+\+?(?:\p{{L}}{{1,4}}+-?)?{_GROUP}(?:\x20{_GROUP}){{1,6}}(?!\x20[0-9])[^\p{{L}}\p{{N}}\x20\x09-\x0D]*+(?![^\x20\x09-\x0D])"
+DIGIT_TOKEN = rf"(?<![^\x20\x09-\x0D])(?:{_GROUPS}|(?=[^0-9\x20\x09-\x0D]*+[0-9])[^\x20\x09-\x0D]++)"
+#: How far back a context is looked for, in characters; no more than NEAR matches of one pattern lie within it or hold its words.
+REACH, NEAR = 80, 20
 MIN_CHARS, MIN_DIGITS = 6, 4
 ROUNDS, CONFIDENT, MIN_SEEDS = 3, 0.6, 3
 BROADCAST_PATTERNS = 100_000
@@ -44,6 +50,22 @@ def offsets(found: Column, gaps: Column) -> Column:
     return F.aggregate(sizes, start, step, lambda a: a["all"])
 
 
+def tails(found: Column, gaps: Column) -> Column:
+    """For each match the text since the start of the one before, or the end of that text."""
+    return F.transform(found, lambda m, i: F.substr(F.concat(F.coalesce(F.get(found, i - 1), F.lit("")), F.get(gaps, i)), F.lit(-REACH), F.lit(REACH)))
+
+
+def context(ends: Column, i: Column) -> Column:
+    """The two words before match i, without punctuation that is joined to the match; empty if there are none."""
+    before = F.substr(F.array_join(F.slice(ends, F.greatest(F.lit(1), i - (NEAR - 2)), F.least(F.lit(NEAR), i + 1)), ""), F.lit(-REACH), F.lit(REACH))
+    return F.lower(F.regexp_extract(F.regexp_replace(before, r"[^\p{L}\p{N}\s]+$", ""), r"((?:\S+\s+)?\S+)\s*$", 1))
+
+
+def whole(match: Column) -> Column:
+    """An entity without what separates its groups."""
+    return F.lower(F.regexp_replace(match, r"[\x20().-]", ""))
+
+
 def luhn(match: Column) -> Column:
     digits = F.reverse(F.regexp_replace(match, "[^0-9]", ""))
 
@@ -66,47 +88,58 @@ def _valid(kind: str, match: Column) -> Column:
 
 
 def with_base(docs: DataFrame, text: str) -> DataFrame:
-    """Adds __base: base spans sorted by start, then kind.  Each step is a projection, so that nothing is found twice."""
+    """Adds __base: base spans sorted by start, then kind; and __seeds: those that do not begin within another, as occurrences.
+
+    Each step is a projection, so that nothing is found twice.
+    """
     t = F.col(text)
     digit = t.rlike("[0-9]")
     able = {"email": F.contains(t, F.lit("@")), "ip": digit, "card": digit, "phone": F.contains(t, F.lit("+"))}
     names = docs.columns
     both = {k: placed(t, p, F.coalesce(able[k], F.lit(False))) for k, p in (("email", EMAIL), ("ip", IP), ("card", CARD), ("phone", PHONE))}
     df = docs.select(*names, *[c.alias(f"__{k}_{s}") for k, pair in both.items() for s, c in zip("mg", pair, strict=True)])
-    df = df.select(*names, *[c for k in both for c in (F.col(f"__{k}_m"), offsets(F.col(f"__{k}_m"), F.col(f"__{k}_g")).alias(f"__{k}_s"))])
+    df = df.select(*names, *[c for k in both for c in (F.col(f"__{k}_m"), offsets(F.col(f"__{k}_m"), F.col(f"__{k}_g")).alias(f"__{k}_s"), tails(F.col(f"__{k}_m"), F.col(f"__{k}_g")).alias(f"__{k}_e"))])
 
     def spans(kind: str, rank: int) -> Column:
-        full = F.zip_with(f"__{kind}_m", f"__{kind}_s", lambda m, s: F.struct(s.alias("start"), F.lit(rank).alias("rank"), (s + F.length(m)).alias("end"), m.alias("m")))
-        return F.transform(F.filter(full, lambda x: _valid(kind, x["m"])), lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end")))
+        full = F.transform(F.arrays_zip(f"__{kind}_m", f"__{kind}_s"), lambda x, i: F.struct(x[f"__{kind}_s"].alias("start"), x[f"__{kind}_m"].alias("m"), i.alias("i")))
+        core = whole if kind in ("card", "phone") else F.lower
+        return F.transform(
+            F.filter(full, lambda x: _valid(kind, x["m"])),
+            lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), (x["start"] + F.length(x["m"])).alias("end"), core(x["m"]).alias("core"), context(F.col(f"__{kind}_e"), x["i"]).alias("context")),
+        )
 
-    return df.select(*names, F.array_sort(F.concat(*[spans(k, i) for i, k in enumerate(KINDS[:4])])).alias("__base"))
+    df = df.select(*names, F.array_sort(F.concat(*[spans(k, i) for i, k in enumerate(KINDS[:4])])).alias("__spans"))
+    df = df.select(*names, "__spans", F.transform("__spans", lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"))).alias("__base"))
+    first = lambda x: (F.length(x["context"]) > 0) & ~F.exists("__base", lambda b: (b["start"] < x["start"]) & (b["end"] > x["start"]))
+    seeds = F.transform(F.filter("__spans", first), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["core"].alias("core"), x["context"].alias("context"), F.lit(True).alias("seed")))
+    return df.select(*names, "__base", seeds.alias("__seeds"))
 
 
 def with_occurrences(docs: DataFrame, text: str) -> DataFrame:
-    """Adds __occ: tokens with a digit, trimmed of punctuation: start, end, lower-cased core, context, whether it is a seed."""
-    names = docs.columns
+    """Adds __occ in place of __seeds: seeds, and what else may be an identifier, trimmed of punctuation: start, end, core, context, seed."""
+    names = [c for c in docs.columns if c != "__seeds"]
     t = F.col(text)
     found, gaps = placed(t, DIGIT_TOKEN, F.coalesce(t.rlike("[0-9]"), F.lit(False)))
-    df = docs.select(*names, found.alias("__m"), gaps.alias("__g"))
-    df = df.select(*names, "__m", "__g", offsets(F.col("__m"), F.col("__g")).alias("__s"))
+    df = docs.select(*names, "__seeds", found.alias("__m"), gaps.alias("__g"))
+    df = df.select(*names, "__seeds", "__m", offsets(F.col("__m"), F.col("__g")).alias("__s"), tails(F.col("__m"), F.col("__g")).alias("__e"))
     ahead = r"^[^\p{L}\p{N}+]+"
     core = lambda m: F.regexp_replace(F.regexp_replace(m, ahead, ""), r"[^\p{L}\p{N}]+$", "")
-    context = lambda g: F.lower(F.regexp_extract(F.right(g, F.lit(80)), r"((?:\S+\s+)?\S+)\s*$", 1))
     full = F.transform(
-        F.arrays_zip("__m", "__g", "__s"),
-        lambda x: F.struct((x["__s"] + F.length(x["__m"]) - F.length(F.regexp_replace(x["__m"], ahead, ""))).alias("start"), core(x["__m"]).alias("core"), context(x["__g"]).alias("context")),
+        F.arrays_zip("__m", "__s"),
+        lambda x, i: F.struct((x["__s"] + F.length(x["__m"]) - F.length(F.regexp_replace(x["__m"], ahead, ""))).alias("start"), core(x["__m"]).alias("core"), i.alias("i")),
     )
-    df = df.select(*names, F.filter(full, lambda x: x["core"].isNotNull() & (F.length(x["core"]) > 0) & (F.length(x["context"]) > 0)).alias("__full"))
+    digits = lambda x: F.length(F.regexp_replace(x["core"], "[^0-9]", ""))
+    long = F.filter(full, lambda x: (F.length(x["core"]) >= MIN_CHARS) & (digits(x) >= MIN_DIGITS))
+    df = df.select(*names, "__seeds", "__e", long.alias("__long"))
 
-    def marked(x: Column) -> Column:
-        end = x["start"] + F.length(x["core"])
-        begins = F.exists("__base", lambda b: (b["start"] >= x["start"]) & (b["start"] < end))
-        touches = F.exists("__base", lambda b: (b["start"] < end) & (b["end"] > x["start"]))
-        return F.struct(x["start"].alias("start"), end.alias("end"), F.lower(x["core"]).alias("core"), x["context"].alias("context"), begins.alias("seed"), touches.alias("touches"))
+    def apart(x: Column) -> Column:
+        return ~F.exists("__base", lambda b: (b["start"] < x["start"] + F.length(x["core"])) & (b["end"] > x["start"]))
 
-    digits = lambda x: F.length(F.regexp_replace(x["core"], "[^0-9]", ""))
-    kept = lambda x: x["seed"] | ~x["touches"] & (F.length(x["core"]) >= MIN_CHARS) & (digits(x) >= MIN_DIGITS)
-    return df.select(*names, F.filter(F.transform("__full", marked), kept).alias("__occ"))
+    new = F.transform(
+        F.filter("__long", apart),
+        lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["core"])).alias("end"), whole(x["core"]).alias("core"), context(F.col("__e"), x["i"]).alias("context"), F.lit(False).alias("seed")),
+    )
+    return df.select(*names, F.concat("__seeds", F.filter(new, lambda x: F.length(x["context"]) > 0)).alias("__occ"))
 
 
 def confident_contexts(occurrences: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, min_seeds: int = MIN_SEEDS) -> DataFrame:
@@ -131,7 +164,7 @@ def found_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     good = saved(confident_contexts(each.select("context", "core", "seed")), "contexts")
     if good.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS:
         good = F.broadcast(good)
-    new = each.filter("not touches").join(good, "context", "left_semi")
+    new = each.filter("not seed").join(good, "context", "left_semi")
     span = F.struct(F.col("start"), F.lit(KINDS.index("id")).alias("rank"), F.col("end"))
     new = new.groupBy("__id", "__k1", "__k2").agg(F.collect_set(span).alias("__new")).withColumnsRenamed({"__id": "__rid", "__k1": "__r1", "__k2": "__r2"})
     match = (F.col("__k1") == F.col("__r1")) & (F.col("__k2") == F.col("__r2")) & F.col("__id").eqNullSafe(F.col("__rid"))

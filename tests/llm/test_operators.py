@@ -286,6 +286,21 @@ def test_contexts_find_unseen_identifiers(spark):
     assert clean[0] == "please write to contact address <EMAIL> today" and clean[50] == "their contact address <ID> was lost" and clean[51] == rows[7][1]
 
 
+def test_whole_entities_are_seeds(spark):
+    phones = [(i, f"you may ring us on +1 555 010 44{i:02d} at night") for i in range(5)]
+    emails = [(10 + i, f"send mail to {w}@mail.example.org now") for i, w in enumerate(["anna", "bert", "carl", "dora"])]
+    new = [(20, "ring us on 123 45 6789, please"), (21, "send mail to 98-7654-X 5 times"), (22, "a page of 123 45 6789 words"), (23, "ring us on 4-5 6")]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(phones + emails + new, "doc_id long, text string")).collect()}
+    assert got[20] == "id:11:22" and got[21] == "id:13:22" and got[22] == "" and got[23] == ""
+    assert got[0].startswith("phone:") and got[10].startswith("email:") and "," not in got[0] + got[10]
+
+
+def test_context_holds_an_identifier_before(spark):
+    rows = [(i, f"key k-100200 user{i}@mail.example.org") for i in range(5)] + [(9, "their key k-100200 ZX-445566 is lost"), (10, "n " * 300 + "1 2 3 k-100200 ZX-445567")]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[9] == "id:19:28" and got[10] == ""
+
+
 def test_masked_texts_hold_nothing_private(docs):
     out = pii.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
