@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from lodestone.llm import decontaminate, langid, mixing, pii, similar
 from lodestone.llm.common import packed, saved, unpacked
 
-#: Documents whose language is less certain than this are rejected.
+#: Documents that fit the languages they are labelled with less than this are rejected.
 MIN_LANGUAGE_SCORE = 0.2
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without a letter, or without any language of some certainty, go."""
+    """Documents with a language: those without a word in a learned script, or unlike all learned languages, go."""
     model = langid.train(langid.training_rows(docs))
     found = packed(docs, langid.language(model, F.col("text"), docs).alias("__language"))
     return unpacked(found.filter((F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= MIN_LANGUAGE_SCORE)), docs.columns)

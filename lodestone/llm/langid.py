@@ -2,9 +2,13 @@
 
 A model holds, per language, log probabilities of hashed character trigrams of lower-cased words, and the languages seen
 in each script.  A word is scored by its trigrams for the candidates of its script only.  The best path through the
-words, where a change of language costs a fixed penalty, labels spans; the language with most words wins.
-Null texts and texts without a letter are `und` with score 0 and no spans.  An empty training set makes every text
-`und`.  Repeated rows get equal results; texts are read whole.
+words, where a change of language costs a fixed penalty, labels spans; the language with most words wins.  Words in a
+script that no language was seen in have no label and are in no span.
+The score is absolute: the share of the text (in bytes of its words) that has a label, times how likely its trigrams are
+in the languages they are labelled with, as a geometric mean and relative to the training texts (1 at most).  Mixing
+learned languages does not lower it, and a text of a few letters has a high one whatever it holds.
+Null texts and texts without a word with a label are `und` with score 0 and no spans.  An empty training set makes every
+text `und`.  Repeated rows get equal results; texts are read whole.
 """
 
 from __future__ import annotations
@@ -43,6 +47,8 @@ BUCKETS = 1 << 15
 #: Bound of the training sample, in rows per language.
 TRAIN_ROWS = 1500
 SWITCH = 6.0
+#: Trigrams of the usual likelihood that every score starts from, so that a word or two alone say little.
+FEW = 20
 CACHE_WORDS = 400_000
 RESULT = "lang_pred string, score double, spans array<struct<first:int,last:int,lang:string>>"
 
@@ -77,10 +83,10 @@ def letter_runs(text: str) -> list[str]:
 
 
 class Model:
-    """langs; log probabilities (BUCKETS x langs); which languages a script admits (scripts x langs)."""
+    """langs; log probabilities (BUCKETS x langs); which languages a script admits (scripts x langs); mean log probability of a training trigram by language."""
 
-    def __init__(self, langs: list[str], logp: np.ndarray, admits: np.ndarray):
-        self.langs, self.logp, self.admits = langs, logp.astype(np.float32), admits
+    def __init__(self, langs: list[str], logp: np.ndarray, admits: np.ndarray, usual: np.ndarray):
+        self.langs, self.logp, self.admits, self.usual = langs, logp.astype(np.float32), admits, usual
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", rows_per_lang: int = TRAIN_ROWS) -> Model:
@@ -89,7 +95,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     counts = {r["__lang"]: r["n"] for r in known.groupBy("__lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros((len(NAMES), 0), dtype=bool))
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros((len(NAMES), 0), dtype=bool), np.zeros(0))
     roll = F.pmod(F.xxhash64(F.col("__id"), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     shares = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, rows_per_lang / counts[k])))])
     sample = known.filter(roll < shares[F.col("__lang")]).select("__lang", "__text")
@@ -117,7 +123,8 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
         counted[grams.bucket, k] = grams.n
         scripts[-1 - found.bucket, k] = found.n
     logp = np.log((counted + 0.5) / (counted.sum(0) + 0.5 * BUCKETS))
-    return Model(langs, logp, scripts >= np.maximum(1, 0.01 * scripts.sum(0)))
+    usual = (counted * logp).sum(0) / np.maximum(1, counted.sum(0))
+    return Model(langs, logp, scripts >= np.maximum(1, 0.01 * scripts.sum(0)), usual)
 
 
 def best_path(scores: np.ndarray, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, switch: float) -> np.ndarray:
@@ -170,16 +177,21 @@ class Labeller:
                 return n
 
         self.ids, self.rows = Ids(), np.zeros((0, len(self.model.langs)), dtype=np.float32)
+        self.fits, self.lengths, self.known = self.rows, np.zeros(0), np.zeros(0, dtype=bool)
 
     def score_new(self) -> None:
         if not self.new:
             return
         keys, begins = trigram_buckets(self.new)
         sums = np.add.reduceat(self.model.logp[keys], begins, axis=0)
+        lengths = np.diff(np.append(begins, len(keys)))
+        self.fits = np.concatenate((self.fits, (sums - lengths[:, None] * self.model.usual).astype(np.float32)))
+        self.lengths = np.concatenate((self.lengths, lengths))
         sums -= sums.max(1, keepdims=True)
         allowed = self.model.admits[[script_of(w[0]) for w in self.new]]
         sums = np.where(allowed.any(1)[:, None], np.where(allowed, np.maximum(sums, -20), -25), 0)
         self.rows = np.concatenate((self.rows, sums.astype(np.float32)))
+        self.known = np.concatenate((self.known, allowed.any(1)))
         self.new.clear()
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[dict]]]:
@@ -197,17 +209,19 @@ class Labeller:
         path = best_path(self.rows, ids, starts, sizes, self.switch)
         out = []
         for x, at, n in zip(per_doc, starts, sizes, strict=True):
-            if not n:
+            known = self.known[x]
+            if not known.any():
                 out.append(("und", 0.0, []))
                 continue
-            own = path[at : at + n]
-            share = np.bincount(own, minlength=len(langs)) / n
-            total = self.rows[x].sum(0)
-            odds = np.exp(np.minimum(0, total - total.max()))
-            k = int(share.argmax())
+            own = np.where(known, path[at : at + n], -1)
+            mine, labels = x[known], own[known]
+            size = self.lengths[mine].sum()
+            fit = self.fits[mine, labels].sum(dtype=np.float64) / (size + FEW)
+            score = float(size / self.lengths[x].sum() * np.exp(min(0.0, fit)))
+            k = int(np.bincount(labels, minlength=len(langs)).argmax())
             cuts = np.flatnonzero(np.diff(own)) + 1
-            spans = [{"first": int(a), "last": int(b) - 1, "lang": langs[own[a]]} for a, b in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [n])), strict=True)]
-            out.append((langs[k], float(share[k] * max(odds[k] / odds.sum(), 0.5 if len(spans) > 1 else 0.0)), spans))
+            spans = [{"first": int(a), "last": int(b) - 1, "lang": langs[own[a]]} for a, b in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [n])), strict=True) if own[a] >= 0]
+            out.append((langs[k], score, spans))
         return out
 
 
@@ -217,7 +231,7 @@ AT_ONCE = 4_000_000
 
 def language(model: Model, text: Column, docs: DataFrame) -> Column:
     """Struct of lang_pred, score and spans (first and last word, counting runs of letters, and the language)."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.logp, model.admits))
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.logp, model.admits, model.usual))
 
     @F.pandas_udf(RESULT)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from lodestone.llm import langid
 
-from .test_operators import SCHEMA, base_spans, contamination, groups, prose, tokens_of
+from .test_operators import SCHEMA, TONGUES, base_spans, contamination, groups, prose, tokens_of
 
 
 def corpus():
@@ -54,6 +54,21 @@ def test_pipeline(spark, tmp_path):
     assert langid.training_rows(docs).count() > 0
 
 
+def test_language_stage_rejects_what_no_language_fits(spark):
+    rng = random.Random(22)
+    tongues = {"en": TONGUES["en"], "de": TONGUES["de"], "fr": "les des une est dans pour qui pas sur avec".split(), "es": "los del las por con una para como pero sus".split()}
+    rows = [(i, prose(rng, 60, tongues[lang]), lang, "s", 1) for i, lang in enumerate(["en", "de", "fr", "es"] * 30)]
+    mixed = [prose(rng, n, tongues[lang]) for n, lang in ((39, "en"), (35, "de"), (26, "fr"))]
+    gibberish = ["".join(rng.choice("bcdfgjkmpqvwxyz") for _ in range(7)) for _ in range(80)]
+    rows += [(500, " ".join(mixed), None, "s", 1), (501, prose(rng, 60, TONGUES["el"]), None, "s", 1), (502, prose(rng, 80, gibberish), None, "s", 1), (503, "שלום לכולם and", None, "s", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert kept >= set(range(120)) | {500} and not kept & {501, 502}
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    assert (got[501].lang_pred, got[501].score, got[501].n_spans) == ("und", 0.0, 0)
+    assert got[500].n_spans == 3 and got[500].score > 0.8 and got[503].lang_pred == "en" and got[503].n_spans == 1 and got[503].score < 0.5
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
