@@ -23,6 +23,8 @@ DROPPED = frozenset("head title script style noscript template nav footer aside
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hr html li main ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 BOXES = frozenset("html body article main section div td table header blockquote figure ul ol dl details center".split()) | DROPPED
+#: Elements that a head may hold; it ends where any other begins, as its end tag is optional.
+IN_HEAD = frozenset("head base link meta title style script noscript template".split())
 #: Words in class, id or role attributes that mark furniture.
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promoted promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets "
@@ -59,6 +61,9 @@ class _Lines(HTMLParser):
         self.tags, self.heading = 0, False
 
     def handle_starttag(self, tag, attrs):
+        if self.box.tag == "head" and tag not in IN_HEAD:
+            self.end_line()
+            self.box = self.box.up
         if tag in BLOCK or tag in DROPPED:
             self.end_line()
             while self.box.tag == "p":  # a paragraph ends where another block begins
@@ -109,6 +114,8 @@ class _Lines(HTMLParser):
             self.box = at.up
 
     def handle_data(self, data):
+        if self.box.tag == "head" and data.strip():
+            self.box = self.box.up
         self.parts.append(data)
 
 

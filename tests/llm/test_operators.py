@@ -135,6 +135,12 @@ def test_html(spark):
     assert pages_html.extract(df.limit(0)).count() == 0
 
 
+def test_html_head_ends_without_its_end_tag():
+    head = "<html><head><meta charset=utf-8><title>T</title><script>x</script>"
+    for rest in ("<body><p>Some text.</p></body></html>", "<p>Some text.</p>", "Some <b>text.</b>", "<b>Some</b> text."):
+        assert pages_html.main_text(head + rest) == pages_html.main_text(head + "</head>" + rest) == "Some text."
+
+
 def test_html_keeps_every_short_paragraph():
     rng = random.Random(2)
     for _ in range(20):
