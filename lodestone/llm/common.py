@@ -35,7 +35,23 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends here, and a lost executor loses nothing."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what saved() wrote, once nothing that will still be computed reads it."""
+    for df in frames:
+        if path := getattr(df, "_saved_at", None):
+            jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(session.sessionState().newHadoopConf()).delete(at, True)
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """df with a broadcast hint if it has no more than so many rows, which are counted first; otherwise as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def packed(df: DataFrame, *more: Column) -> DataFrame:

@@ -12,7 +12,7 @@ import numpy as np
 WIDTH = 5
 U = np.uint64
 #: Bytes hashed at once; a longer text is cut at white space.
-PIECE = 1 << 21
+PIECE = 1 << 19
 _ODD = 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, size=256, dtype=np.uint64)
@@ -76,7 +76,12 @@ def _sets(words: np.ndarray, doc: np.ndarray, count: int) -> list[np.ndarray]:
     first = np.cumsum(n) - n
     short = np.flatnonzero((n > 0) & (n < WIDTH))
     if len(short):
-        whole = np.array([mix(np.array([np.add.reduce(words[first[d] : first[d] + n[d]] * _PLACE[: n[d]]) + _SHORT[n[d]]]))[0] for d in short], dtype=U)
+        size = n[short]
+        whole = _SHORT[size]
+        for k in range(WIDTH - 1):
+            more = size > k
+            whole[more] += words[first[short[more]] + k] * _PLACE[k]
+        whole = mix(whole)
         grams, owner = np.concatenate((grams, whole)), np.concatenate((owner, short))
     order = np.lexsort((grams, owner))
     grams, owner = grams[order], owner[order]
@@ -115,15 +120,15 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     return out
 
 
-def signature(grams: np.ndarray) -> tuple[int, int]:
+def signature(grams: np.ndarray, salt: int = 0) -> tuple[int, int]:
     """Two 64-bit sums that name a set."""
-    a, b = int(mix(grams + U(0x1234567)).sum(dtype=U)), int(mix(grams ^ U(0xABCDEF987654321)).sum(dtype=U))
+    a, b = int(mix(grams + U(0x1234567 + salt)).sum(dtype=U)), int(mix(grams ^ U(0xABCDEF987654321 + salt)).sum(dtype=U))
     return a - (1 << 64) if a >> 63 else a, b - (1 << 64) if b >> 63 else b
 
 
 def bitmap(grams: np.ndarray) -> bytes:
-    """Hashed bitmap of a set: a power of two of bits, over twice as many as members, 256 to 65536."""
-    bits = 1 << min(16, max(8, int(2 * len(grams)).bit_length()))
+    """Hashed bitmap of a set: a power of two of bits, over four times as many as members, 256 to 2^20."""
+    bits = 1 << min(20, max(8, int(4 * len(grams)).bit_length()))
     flags = np.zeros(bits, dtype=np.uint8)
     flags[(grams & U(bits - 1)).astype(np.int64)] = 1
     return np.packbits(flags).tobytes()
@@ -137,24 +142,52 @@ def fold(bits: np.ndarray, size: int) -> np.ndarray:
     return bits
 
 
-def most_shared(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
-    """An upper bound of the overlap: every bit of one that the other lacks stands for a member not shared."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    size = min(len(x), len(y))
-    x, y = fold(x, size), fold(y, size)
-    return min(n_a - int(np.bitwise_count(x & ~y).sum()), n_b - int(np.bitwise_count(y & ~x).sum()))
+class Bitmaps:
+    """Bitmaps of the sets of a block, to bound the overlap of one with many others from above.
+
+    Every bit of one that the other lacks stands for a member not shared.  Sets that may be similar have bitmaps of one
+    width or of neighbouring ones, so each is held at its own width and at half of it.
+    """
+
+    def __init__(self, sizes: np.ndarray, bits: list[bytes]):
+        self.sizes = sizes
+        self.width = np.array([len(b) for b in bits], dtype=np.int64)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for w in set(self.width.tolist()):
+            own = np.flatnonzero((self.width == w) | (self.width == 2 * w))
+            at = np.full(len(bits), -1)
+            at[own] = np.arange(len(own))
+            self.tables[w] = at, np.stack([fold(np.frombuffer(bits[k], np.uint8), w) for k in own])
+
+    def most_shared(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Upper bounds of the overlap of set i with others of similar size."""
+        out = np.empty(len(others), dtype=np.int64)
+        narrow = np.minimum(self.width[i], self.width[others])
+        for w in set(narrow.tolist()):
+            some = np.flatnonzero(narrow == w)
+            at, table = self.tables[w]
+            x, y = table[at[i]], table[at[others[some]]]
+            lack_x, lack_y = (np.bitwise_count(m).sum(1, dtype=np.int64) for m in (x & ~y, y & ~x))
+            out[some] = np.minimum(self.sizes[i] - lack_x, self.sizes[others[some]] - lack_y)
+        return out
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:
     """Exact overlap of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
-        return 0
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = len(b) - 1
-    return int((b[at] == a).sum())
+    return int(shared_with(a, [b])[0])
 
 
-def similar(overlap: int, n_a: int, n_b: int, percent: int) -> bool:
+def shared_with(a: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Exact overlaps of a sorted set with each of others."""
+    if not others or not len(a):
+        return np.zeros(len(others), dtype=np.int64)
+    every = np.concatenate(others)
+    at = np.searchsorted(a, every)
+    at[at == len(a)] = len(a) - 1
+    ends = np.cumsum([len(x) for x in others])
+    hits = np.concatenate(([0], np.cumsum(a[at] == every)))
+    return hits[ends] - np.concatenate(([0], hits[ends[:-1]]))
+
+
+def similar(overlap, n_a, n_b, percent: int):
     return 100 * overlap >= percent * (n_a + n_b - overlap)

@@ -7,6 +7,7 @@ import random
 import re
 from binascii import crc32
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -362,9 +363,9 @@ def chained(seed=9):
 @pytest.mark.parametrize("seed", [9, 10])
 def test_similar(spark, seed, monkeypatch):
     monkeypatch.setattr(similar, "BLOCK", 8)
-    monkeypatch.setattr(similar, "LOCAL", 2)
     monkeypatch.setattr(similar, "FREQUENT", 4)
     monkeypatch.setattr(similar, "SUBTILE", 10)
+    monkeypatch.setattr(similar, "AT_ONCE", 3000)
     rows = chained(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("other")).repartition(5)
     same(similar.report(df), groups(rows))
@@ -376,10 +377,35 @@ def test_similar_on_documents(docs, monkeypatch):
     assert similar.report(empty(docs)).count() == 0
     kept = similar.deduplicated(docs)
     assert kept.columns == docs.columns
-    want = [d for d, n, c in groups(rows) if d is None or d == c]
+    want = [d for d, n, _ in groups(rows) if not n] + list({c: c for _, n, c in groups(rows) if n})
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_one_row_of_each_group_stays(spark):
+    t = prose(random.Random(4), 40)
+    near, other = t + " more", prose(random.Random(5), 40)
+    rows = [(5, t), (5, t), (7, t.upper()), (3, near), (3, other), (None, t), (8, "!"), (None, "?"), (None, "?"), (9, None), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__k1", F.lit(1)).withColumn("root", F.lit(2)).repartition(3)
+    same(similar.deduplicated(df).select("doc_id", "text"), [(3, near), (3, other), (8, "!"), (None, "?"), (9, None), (9, None)])
+    same(similar.report(df), groups(rows))
+
+
+def test_walk_gives_the_groups_of_all_pairs():
+    rng = np.random.default_rng(3)
+    for two_sided in (False, True):
+        for _ in range(30):
+            n, side, near = rng.integers(20, 30, 25), rng.integers(0, 2, 25), np.triu(rng.random((25, 25)) < 0.06, 1)
+            near |= near.T
+            near &= 100 * np.minimum(n, n[:, None]) >= 80 * np.maximum(n, n[:, None])
+            if two_sided:
+                near &= side != side[:, None]
+            got = similar.walk(n, side, two_sided, lambda i, others, near=near: near[i, others], 80)
+            label = np.arange(25)
+            for _ in range(25):
+                label = np.where(near, label, 99).min(1, initial=99).clip(max=label)
+            assert sorted(map(sorted, got)) == [np.flatnonzero(label == k).tolist() for k in range(25) if (label == k).sum() > 1]
+
+
 def test_shingles_in_pieces(monkeypatch):
     rng = random.Random(3)
     texts = [None, "", "A b", prose(rng, 4000), "x" * 5000, prose(rng, 7) + "\v\f" + prose(rng, 30)]
@@ -389,7 +415,12 @@ def test_shingles_in_pieces(monkeypatch):
         assert a.tolist() == b.tolist()
     assert [len(x) for x in whole[:3]] == [0, 0, 1]
     a, b = whole[3], whole[3][50:]
-    assert S.shared(a, b) == len(b) <= S.most_shared(S.bitmap(a), len(a), S.bitmap(b), len(b))
+    some = [a, b, a[::2], np.sort(S.mix(a))]
+    maps = S.Bitmaps(np.array([len(x) for x in some]), [S.bitmap(x) for x in some])
+    for i, j in ((0, 1), (1, 0), (0, 3), (0, 2)):
+        exact = S.shared(some[i], some[j])
+        assert exact == len(np.intersect1d(some[i], some[j])) <= maps.most_shared(i, np.array([j]))[0]
+    assert S.shared(a, b) == len(b) and maps.most_shared(0, np.array([3]))[0] < 0.5 * len(a)
 
 
 # 8
