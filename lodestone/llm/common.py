@@ -54,6 +54,16 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound what goes to a Python worker at once to 8 MB for the rest of the session, where it still has Spark's default of 64 MB.
+
+    Workers hold two batches at a time, and many more times their size in what they make of them.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "67108864") in ("67108864", "64MB", "64m"):
+        spark.conf.set(name, str(8 << 20))
+
+
 def packed(df: DataFrame, *more: Column) -> DataFrame:
     """All of df in one struct, __row, beside what is computed from it: no column of df can clash with it."""
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("__row"), *more)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, small_batches
 
 #: First and last code points of the letters of scripts.
 SCRIPTS = (
@@ -49,7 +49,7 @@ TRAIN_ROWS = 1500
 SWITCH = 6.0
 #: Trigrams of the usual likelihood that every score starts from, so that a word or two alone say little.
 FEW = 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 RESULT = "lang_pred string, score double, spans array<struct<first:int,last:int,lang:string>>"
 
 
@@ -226,11 +226,12 @@ class Labeller:
 
 
 #: Texts labelled at once, in characters.
-AT_ONCE = 4_000_000
+AT_ONCE = 1_000_000
 
 
 def language(model: Model, text: Column, docs: DataFrame) -> Column:
     """Struct of lang_pred, score and spans (first and last word, counting runs of letters, and the language)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.logp, model.admits, model.usual))
 
     @F.pandas_udf(RESULT)

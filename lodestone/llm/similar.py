@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import bounded, discard, packed, saved, unpacked
+from .common import bounded, discard, packed, saved, small_batches, unpacked
 
 PERCENT = 80
 #: Members that LOCAL sets among about POOL members of one task hold, FREQUENT in all, go to the end of the order, up to MOST
@@ -347,6 +347,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     n is the size of its set, node its class, root its group, and component the least id of the group (its own id for the
     empty set, whose node and root are null).
     """
+    small_batches(docs.sparkSession)
     text = F.col(text_col)
     slim = docs.select(F.col(id_col).alias("__id"), text.alias("__text"), F.xxhash64(text, F.lit(1)).alias("__k1"), F.xxhash64(F.lit(2), text).alias("__k2"))
     id_type = slim.schema["__id"].dataType.simpleString()
