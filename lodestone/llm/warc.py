@@ -1,11 +1,18 @@
 """WARC archives: written by Spark's text sink, read by a Python data source.
 
-Writer: one record per row, payload digests and revisits decided from digests alone (no payload is shuffled to find
-them).  A text row is a whole record; the line separator of the sink is the record terminator of the format.
+Writer: one record per row, payload digests and revisits decided from digests.  A text row is a whole record; the line
+separator of the sink is the record terminator of the format.  Groups of equal payloads are broadcast up to a checked
+number; beyond it rows are joined with them by a shuffle, in which Spark splits a digest that many rows share.
 Reader: one partition per group of files, record-type and header predicates pushed down; headers are parsed first and
-the bytes of unwanted payloads are skipped by seeking, neither read nor decoded.
-Null html is the empty payload.  Rows that repeat the smallest id of a payload are all responses.  A null id counts as
-the largest.  An empty table gives an archive without records.
+the bytes of unwanted payloads are skipped by seeking, neither read nor decoded.  Members of gzip files have to be inflated
+to be skipped, but are not kept.  Paths may have the schemes that pyarrow knows, s3a and s3n count as s3, and others go to
+fsspec where it is installed.
+
+Null html is the empty payload.  Rows that repeat the smallest id of a payload are all responses (and share a record id, as
+ids name pages).  A null id counts as the largest.  An empty table gives an archive without records.  Payloads of any
+length are written and read whole; payloads and headers that are not UTF-8 are read with replacement characters, digests
+and sizes being of the bytes.  Only the id, url and html columns are written, so others may have any name.  Records of
+other writers are read too: page_id and refers_to are null where the record id names no page, record_id has it as it is.
 """
 
 from __future__ import annotations
@@ -14,8 +21,10 @@ import base64
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
@@ -26,7 +35,8 @@ EOL, END = "\r\n", "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 BROADCAST_GROUPS = 500_000
 PARTITION_BYTES = 64 << 20
-SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload string"
+SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload string, record_id string"
+FIRST_READ = 2048
 
 
 def base32_sha1(data: Column) -> Column:
@@ -105,7 +115,14 @@ class WarcReader(DataSourceReader):
     def _store(self):
         from pyarrow import fs
 
-        return fs.FileSystem.from_uri(self.path if re.match(r"\w+:", self.path) else f"file://{self.path}")
+        uri = re.sub(r"^s3[an]:", "s3:", self.path) if re.match(r"\w+:", self.path) else f"file://{self.path}"
+        try:
+            return fs.FileSystem.from_uri(uri)
+        except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+            import fsspec
+
+            store, base = fsspec.core.url_to_fs(self.path)
+            return fs.PyFileSystem(fs.FSSpecHandler(store)), base
 
     def partitions(self):
         from pyarrow import fs
@@ -125,52 +142,108 @@ class WarcReader(DataSourceReader):
         store, _ = self._store()
         for name in partition.files:
             with store.open_input_file(name) as f:
-                yield from self._records(f)
+                packed = f.read(2) == b"\x1f\x8b"
+                yield from self._members(f) if packed else self._records(f)
 
     def _records(self, f) -> Iterator[tuple]:
-        at, end, chunk = 0, f.size(), b""
-        base = 0  # offset of chunk in the file
+        """Records of an open file.  Of unwanted ones only what holds the header is read."""
+        at, end = 0, f.size()
         while at < end:
-            cut = -1
-            want = 4096
-            while cut < 0:
-                if not (base <= at < base + len(chunk)) or cut == -2 or chunk.find(b"\r\n\r\n", at - base) < 0:
-                    f.seek(at)
-                    base, chunk = at, f.read(want)
-                cut = chunk.find(b"\r\n\r\n", at - base)
-                if cut < 0:
-                    if base + len(chunk) >= end:
-                        raise ValueError(f"record at byte {at} has no end of header")
-                    want *= 4
-            head = {}
-            lines = chunk[at - base : cut].decode("utf-8").split(EOL)
-            if not lines[0].startswith("WARC/"):
-                raise ValueError(f"no record at byte {at}")
-            for line in lines[1:]:
-                key, _, value = line.partition(":")
-                head[key.strip().lower()] = value.strip()
-            body, length = base + cut + 4, int(head["content-length"])
-            row = self._row(head)
-            if all(row[k] in v for k, v in self.wanted.items()):
-                text, size = None, None
-                response = row["record_type"] == "response"
-                if base <= body and body + length <= base + len(chunk):
-                    block = chunk[body - base : body - base + (length if response and (self.payload or self.verify) else min(length, 2048))]
-                else:
-                    f.seek(body)
-                    block = f.read(length if response and (self.payload or self.verify) else min(length, 2048))
-                http = block.find(b"\r\n\r\n")
-                if m := re.search(rb"(?im)^content-length:\s*(\d+)", block[: max(http, 0)]):
-                    size = int(m[1])
-                if response and (self.payload or self.verify):
-                    data = block[http + 4 :]
-                    size = len(data)
-                    if self.verify and base64.b32encode(hashlib.sha1(data).digest()).decode() != row["payload_digest"]:
-                        raise ValueError(f"digest of the payload at byte {body} differs")
-                    text = data.decode("utf-8") if self.payload else None
-                yield (row["page_id"], row["url"], row["record_type"], size, row["payload_digest"], row["refers_to"], text)
+            chunk, want = b"", FIRST_READ
+            while (cut := chunk.find(b"\r\n\r\n")) < 0:
+                if at + len(chunk) >= end:
+                    if not chunk.strip():
+                        return
+                    raise ValueError(f"record at byte {at} has no end of header")
+                f.seek(at + len(chunk))
+                chunk += f.read(want)
+                want *= 2
+            head = self._head(chunk[:cut], at)
+            body, length = at + cut + 4, int(head["content-length"])
+
+            def block(upto: int, body: int = body, length: int = length, have: bytes = chunk[cut + 4 :]) -> bytes:
+                """The first bytes of the record's block; what was read with the header is not read again."""
+                upto = min(upto, length)
+                if upto <= len(have):
+                    return have[:upto]
+                f.seek(body + len(have))
+                return have + f.read(upto - len(have))
+
+            yield from self._wanted(head, block, length, body)
             at = body + length + 4
 
+    def _members(self, f) -> Iterator[tuple]:
+        """Records of a gzip file, one to a member: inflated as far as needed, then to its end without being kept."""
+        f.seek(0)
+        left = b""
+        while left or (left := f.read(1 << 16)):
+            inflate = zlib.decompressobj(31)
+            data = b""
+
+            def grow(upto: int) -> None:
+                """Inflate until data has so many bytes, or the member ends."""
+                nonlocal data, left
+                while len(data) < upto and not inflate.eof:
+                    if not left and not (left := f.read(1 << 16)):
+                        raise ValueError("a gzip member has no end")
+                    data += inflate.decompress(left, 1 << 16)
+                    left = inflate.unused_data if inflate.eof else inflate.unconsumed_tail
+
+            while (cut := data.find(b"\r\n\r\n")) < 0 and not inflate.eof:
+                grow(len(data) + FIRST_READ)
+            if cut >= 0:
+                head, length = self._head(data[:cut], 0), None
+                length = int(head["content-length"])
+
+                def block(upto: int, cut: int = cut, length: int = length) -> bytes:
+                    grow(cut + 4 + min(upto, length))
+                    return data[cut + 4 : cut + 4 + min(upto, length)]
+
+                yield from self._wanted(head, block, length, 0)
+            while not inflate.eof:
+                data = b""
+                grow(1 << 16)
+
+    @staticmethod
+    def _head(raw: bytes, at: int) -> dict:
+        lines = raw.decode("utf-8", "replace").lstrip(EOL).split(EOL)
+        if not lines[0].startswith("WARC/"):
+            raise ValueError(f"no record at byte {at}")
+        head, key = {}, ""
+        for line in lines[1:]:
+            if line[:1] in (" ", "\t") and key:  # a folded header
+                head[key] = f"{head[key]} {line.strip()}".strip()
+                continue
+            key, _, value = line.partition(":")
+            key = key.strip().lower()
+            head[key] = value.strip()
+        return head
+
+    def _wanted(self, head: dict, block: Callable[[int], bytes], length: int, at: int) -> Iterator[tuple]:
+        """The record's row, if its header passes the predicates."""
+        row = self._row(head)
+        if not all(row[k] in v for k, v in self.wanted.items()):
+            return
+        text, size = None, None
+        data, http, upto = b"", -1, FIRST_READ
+        if head.get("content-type", "").startswith("application/http"):
+            while http < 0 and len(data) < min(length, upto):  # an HTTP header of any length
+                data = block(upto)
+                http = data.find(b"\r\n\r\n")
+                upto *= 4
+            if m := re.search(rb"(?im)^content-length:\s*(\d+)", data[: max(http, 0)]):
+                size = int(m[1])
+            http += 4 if http >= 0 else 1
+        else:
+            http, size = 0, length
+        if row["record_type"] != "revisit" and (self.payload or self.verify):
+            data = block(length)[http:]
+            size = len(data)
+            if self.verify and row["payload_digest"] and base64.b32encode(hashlib.sha1(data).digest()).decode() != row["payload_digest"]:
+                raise ValueError(f"digest of the payload at byte {at} differs")
+            text = data.decode("utf-8", "replace") if self.payload else None
+        yield (row["page_id"], row["url"], row["record_type"], size, row["payload_digest"], row["refers_to"], text, head.get("warc-record-id"))
+
     @staticmethod
     def _row(head: dict) -> dict:
         def number(urn: str | None) -> int | None:
@@ -220,6 +293,11 @@ def read_warc(spark: SparkSession, path: str, where: dict[str, list] | None = No
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write an archive of pages into the shared folder and read it back with digests checked."""
+    """Write an archive of pages into the shared folder and read it back: responses with their digests checked, revisits by headers alone.
+
+    Both are read by pushed predicates on the record type, so the payloads of responses are skipped where revisits are read.
+    """
     path = write_warc(pages, fresh_path(pages.sparkSession, "warc"), min_bytes)
-    return read_warc(pages.sparkSession, path, payload=False, verify=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    full = read_warc(pages.sparkSession, path, {"record_type": ["response"]}, payload=False, verify=True)
+    again = read_warc(pages.sparkSession, path, {"record_type": ["revisit"]}, payload=False)
+    return full.union(again).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
