@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the pre-token pattern that byte-level BPE vocabularies of this kind state.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters whose class no Unicode version disputes; a text with any other goes to the library whole.
-UNSETTLED = r"[^\t-\r\x20-\x7e\xa0-ɏ‐-‧€]"
+#: Characters whose class no Unicode version disputes (Latin, and the common letters of Greek, Cyrillic, kana, Han and Hangul);
+#: a text with any other goes to the library whole.
+UNSETTLED = "[^\\t-\\r\\x20-\\x7e\\xa0-\u024f\u2010-\u2027\u20ac\u0391-\u03a1\u03a3-\u03a9\u03b1-\u03c9\u0401\u0410-\u044f\u0451\u3001\u3002\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]"
 CACHE_ENTRIES = 1 << 19
 LONGEST_CACHED = 48
 SAMPLE_DOCS = 2000
