@@ -64,6 +64,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(8 << 20))
 
 
+def release() -> None:
+    """Give memory that a Python worker no longer uses back to the system: workers are kept between tasks."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
 def packed(df: DataFrame, *more: Column) -> DataFrame:
     """All of df in one struct, __row, beside what is computed from it: no column of df can clash with it."""
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("__row"), *more)

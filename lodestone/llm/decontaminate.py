@@ -5,7 +5,9 @@ words, or itself whole if shorter.  A document's windows of the lengths that occ
 hashes of item windows; a hit counts only if its words equal the window's.  Item windows are broadcast up to a checked
 number; beyond it the same join shuffles.
 Null texts have no words and no hits.  A null item id is left out of the list of items but its windows hit.  Repeated
-rows get equal results: hits are found per id and text and joined back by both.  DataFrame operations only.
+rows get equal results: hits are found per id and text and joined back by both; a window that several items hold counts
+for each.  An empty benchmark leaves all texts as they are, an empty table gives no rows.  Texts are read whole; only the
+id and text columns are read for hits, and clean() keeps columns of any name.  DataFrame operations only.
 """
 
 from __future__ import annotations

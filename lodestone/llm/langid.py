@@ -8,7 +8,9 @@ The score is absolute: the share of the text (in bytes of its words) that has a
 in the languages they are labelled with, as a geometric mean and relative to the training texts (1 at most).  Mixing
 learned languages does not lower it, and a text of a few letters has a high one whatever it holds.
 Null texts and texts without a word with a label are `und` with score 0 and no spans.  An empty training set makes every
-text `und`.  Repeated rows get equal results; texts are read whole.
+text `und`.  Repeated rows get equal results; texts are read whole.  Of languages that score alike the first by name wins.
+An empty table gives no rows.  Only the id, text and language columns are read, so others may have any name.  Words are
+runs of letters, so a combining mark parts a word in two.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches
+from .common import crc_mod, release, small_batches
 
 #: First and last code points of the letters of scripts.
 SCRIPTS = (
@@ -247,6 +249,8 @@ def language(model: Model, text: Column, docs: DataFrame) -> Column:
                     part, size = [], 0
             rows += labeller.label(part) if part else []
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "spans"])
+        del labeller
+        release()
 
     return predict(text)
 

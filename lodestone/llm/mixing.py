@@ -5,7 +5,8 @@ in rising order are a weighted sample, and a prefix sum of sizes cuts it at what
 No source is ordered in one task: keys fall into 2^20 ranges whose sums locate the cut coarsely, then finely, and only
 the range that holds the cut is ordered row by row.  Keys hash the id and the text, so reruns agree.
 Null texts have size 0 and are never taken; null sources come last and form one source; ties in the key fall to the
-smaller size, then the id; rows equal in all of these are interchangeable.  Empty input gives no rows.
+smaller size, then the id; rows equal in all of these are interchangeable.  An empty table gives no rows.  Texts
+of any length are measured whole; only the id, text and source columns are read, so others may have any name.
 DataFrame operations only.
 """
 

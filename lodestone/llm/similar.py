@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import bounded, discard, packed, saved, small_batches, unpacked
+from .common import bounded, discard, packed, release, saved, small_batches, unpacked
 
 PERCENT = 80
 #: Members that LOCAL sets among about POOL members of one task hold, FREQUENT in all, go to the end of the order, up to MOST
@@ -95,6 +95,8 @@ def digests(docs: DataFrame, id_type: str, salt: int) -> DataFrame:
                 pool, held, seen = [], 0, set()
         if pool:
             yield from often(pool, id_kind)
+        del pool, seen
+        release()
 
     return docs.mapInArrow(run, f"kind int, id {id_type}, k1 long, k2 long, n long, s1 long, s2 long, bits binary")
 
@@ -124,6 +126,8 @@ def tiles(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], percent: int
                 nodes.append(np.full(len(chosen), node, np.int64))
             if nodes:
                 yield pa.record_batch([pa.array(np.concatenate(deals).astype(np.int32)), pa.array(np.concatenate(members)), pa.array(np.concatenate(nodes))], names=["deal", "member", "node"])
+        del seen
+        release()
 
     return docs.mapInArrow(run, "deal int, member long, node long")
 

@@ -1,10 +1,14 @@
 """Operators against brute force on small rows: nulls, empty and long texts, ties, repeats, empty tables, extra columns."""
 
 import base64
+import gzip
 import hashlib
 import html as H
+import json
+import math
 import random
 import re
+import unicodedata
 from binascii import crc32
 
 import numpy as np
@@ -110,6 +114,57 @@ def test_rules_reject_long_texts_without_common_words(spark):
     assert sum(got[i].kept for i in range(30)) >= 28
 
 
+def js(p, q):
+    total = 0.0
+    for a, b in zip(p, q, strict=True):
+        for x in (a, b):
+            if x:
+                total += x * math.log2(2 * x / (a + b)) / 2
+    return math.sqrt(max(0.0, total))
+
+
+def histograms(text):
+    """Characters by class and words by common word, the last bin for all others."""
+    kinds = [lambda c: unicodedata.category(c) == "Ll", lambda c: unicodedata.category(c) == "Lu", lambda c: unicodedata.category(c)[0] == "N", lambda c: c in " \t\n\v\f\r", lambda c: c in ".,;:'\"()-", lambda c: c in "#*$%&|<>"]
+    classes = [sum(map(k, text)) for k in kinds]
+    words = [w.lower() for w in WORD.findall(text)]
+    common = [words.count(w) for w in rules.WORDS]
+    return [*classes, len(text) - sum(classes)], [*common, len(words) - sum(common)]
+
+
+def test_rules_against_brute_force(spark):
+    rng = random.Random(3)
+    tongues = {k: [*v, *("".join(rng.choice("abcdeéilmnorstu") for _ in range(rng.randint(3, 9))) for _ in range(12))] for k, v in rules.COMMON.items()}
+    rows = [(i, prose(rng, rng.randint(20, 160), tongues[k]), k, "a", 1) for i, k in enumerate([*tongues] * 12)]
+    rows += [(100 + i, " ".join("".join(rng.choice("bcdfghjkpqvwxz") for _ in range(6)) for _ in range(60)), "en", "a", 1) for i in range(3)]
+    rows += [(200 + i, " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(120)), lang, "a", 1) for i, (letters, lang) in enumerate([("абвгдежзик", "ru"), ("的一是不了人我在", None), ("αβγδεζηθικ", "en")])]
+    rows += [(300, "%$# " * 80, "en", "a", 1), (301, None, "en", "a", 0), (302, " ".join(rows[0][1].split()[:5] * 20), "en", "a", 1)]
+    read = [(d, base_counts(t), lang, *histograms(t or "")) for d, t, lang, _, _ in rows]
+    norm = lambda h: [x / sum(h) for x in h] if sum(h) else None
+    near = lambda h, known, at: min((js(norm(h), k[at]) for k in known.values()), default=None) if sum(h) else None
+
+    def references(some):
+        out = {}
+        for k in rules.COMMON:
+            own = [r for r in some if r[2] == k and not r[1][5]]
+            if own:
+                out[k] = tuple(norm([sum(x) for x in zip(*(r[at] for r in own), strict=True)]) for at in (3, 4))
+        return out
+
+    rough = references(read)
+    known = references([r for r in read if sum(r[3]) and near(r[3], rough, 0) <= rules.MAX_ROUGH_DISTANCE]) or rough
+    got = {r.doc_id: r for r in rules.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    kept = set()
+    for d, base, _, classes, common in read:
+        a, b = near(classes, known, 0), near(common, known, 1)
+        assert (got[d].class_distance, got[d].word_distance) == (pytest.approx(a, abs=1e-9), pytest.approx(b, abs=1e-9))
+        far = a is not None and (a > rules.MAX_CLASS_DISTANCE or b > rules.MAX_WORD_DISTANCE)
+        if not base[5] and (base[0] < rules.MIN_WORDS or d in (200, 201, 202) or not far):
+            kept.add(d)
+    assert {d for d, r in got.items() if r.kept} == kept
+    assert {200, 201, 202} <= kept and not kept & {*range(100, 103), 300, 301, 302} and len(kept & set(range(48))) >= 46
+
+
 def test_repeats_are_counted_once_each(spark):
     t = "a b c d e f a b c d e f g " + "z " * 12
     got = rules.judge(spark.createDataFrame([(1, t, "en", "a", 1)], SCHEMA)).first()
@@ -177,6 +232,53 @@ def test_warc(spark, tmp_path):
     assert warc.read_warc(spark, path, payload=False).filter("page_id = 9").first().payload_bytes == 200_000
 
 
+class Counting:
+    """A file that counts the bytes read."""
+
+    def __init__(self, raw):
+        self.raw, self.at, self.bytes = raw, 0, 0
+
+    def size(self):
+        return len(self.raw)
+
+    def seek(self, at):
+        self.at = at
+
+    def read(self, n):
+        out = self.raw[self.at : self.at + n]
+        self.at += len(out)
+        self.bytes += len(out)
+        return out
+
+
+def record(kind, page, block, more=""):
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{page}>\r\nContent-Type: application/http; msgtype=response\r\n{more}Content-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def test_warc_skips_unwanted_payloads():
+    http = lambda body, more="": f"HTTP/1.1 200 OK\r\n{more}Content-Length: {len(body)}\r\n\r\n".encode() + body
+    raw = b"".join(record("response", i, http(bytes([65 + i]) * 100_000)) + record("revisit", 100 + i, http(b""), "WARC-Refers-To:\r\n <urn:page:1>\r\n") for i in range(20))
+    for where, most, ids in (({"record_type": ["revisit"]}, 0.05, [100 + i for i in range(20)]), ({"page_id": [3]}, 0.1, [3]), ({}, 1.1, [x for i in range(20) for x in (i, 100 + i)])):
+        f = Counting(raw)
+        rows = list(warc.WarcReader({"path": "x", "where": json.dumps(where)})._records(f))
+        assert [r[0] for r in rows] == ids and f.bytes <= most * len(raw)
+    assert rows[1][5] == 1 and rows[0][6] == "A" * 100_000
+    long = record("response", 7, http(b"abc", "X: " + "y" * 9000 + "\r\n"))
+    assert next(warc.WarcReader({"path": "x", "payload": "false"})._records(Counting(long)))[3] == 3
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Type: application/warc-fields\r\nContent-Length: 5\r\n\r\na: b\n\r\n\r\n"
+    records = [info, record("response", 1, b"HTTP/1.1 200 OK\r\n\r\n" + b"\xff\xfe" + b"z" * 300_000), record("response", 2, b"HTTP/1.1 200 OK\r\n\r\nshort")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "b.warc").write_bytes(b"".join(records))
+    got = warc.read_warc(spark, str(tmp_path))
+    same(got.select("page_id", "record_id", "payload_bytes"), [(None, "<urn:uuid:1>", 5), (1, "<urn:page:1>", 300_002), (2, "<urn:page:2>", 5)] * 2)
+    assert {r.payload for r in warc.read_warc(spark, str(tmp_path), {"page_id": [2]}).collect()} == {"short"}
+    assert {r.payload[:2] for r in got.filter("page_id = 1").collect()} == {"\ufffd\ufffd"}
+
+
 # 4
 
 
@@ -187,7 +289,8 @@ def test_tokens(spark, docs):
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     rng = random.Random(4)
     letters = [chr(i) for i in range(0x250)] + list("€  …　क😀́") + ["<|endoftext|>", " ", "\n\n", "'s", "12"] * 20
-    texts = [r[1] for r in documents()] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(800)] + ["a" * 5000, " " * 3000]
+    other = [chr(c) for a, b in ((0x386, 0x3CF), (0x400, 0x460), (0x3000, 0x3100), (0x4E00, 0x4E40), (0x9F90, 0x9FB0), (0xAC00, 0xAC20), (0xD790, 0xD7B0)) for c in range(a, b)] + list(" ,1a") * 20
+    texts = [r[1] for r in documents()] + ["".join(rng.choice(other) for _ in range(rng.randint(1, 30))) for _ in range(800)] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(800)] + ["a" * 5000, " " * 3000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_tokens", F.lit("other"))
     want = []
     for i, t in enumerate(texts):
