@@ -4,7 +4,9 @@ Statistics come from bytes, words and lines of the whole text.  Trees are comple
 arrays (feature and threshold per inner node) and one of leaf values; rows walk all trees by index arithmetic.
 Null and empty texts have the statistics of an empty document and are scored like any other.  Without labels, or with
 one kind of label only, every score is the share of label 1 (0.5 without labels).  Repeated labels count as often as
-they occur; rows with a null label are left out.
+they occur; rows with a null label are left out.  An empty table gives no rows.  Of splits of equal gain the first
+statistic's lowest cut is taken, and rows are ordered before fitting, so the forest does not depend on their order.  Texts
+of any length are read whole, one at a time; only the id and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import bounded, crc_mod, small_batches
 
 STATISTICS = (
     "log_bytes", "letters", "upper", "digits", "spaces", "high_bytes", "symbols", "marks", "bars", "stops",
@@ -153,9 +155,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = marked.count()
     roll = F.pmod(F.xxhash64(F.col("__id"), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
     share = min(1.0, rows / max(1, n))
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).filter(roll < share)
-    known = texts.select("__id", statistics_of(F.col("__text")).alias("__x")).join(marked.filter(roll < share), "__id")
-    data = known.select("__id", "__y", "__x").toPandas()
+    sample = bounded(marked.filter(roll < share), 2 * rows)
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).filter(roll < share).join(sample, "__id")
+    data = texts.select("__id", "__y", statistics_of(F.col("__text")).alias("__x")).toPandas()
     if not len(data):
         return fit(np.zeros((0, len(STATISTICS))), np.zeros(0))
     x, y, ids = np.array(data["__x"].tolist()), data["__y"].to_numpy(), data["__id"].to_numpy()
@@ -164,6 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def quality_score(forest: Forest, text: Column, docs: DataFrame) -> Column:
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((forest.feature, forest.threshold, forest.value, forest.base))
 
     @F.pandas_udf("double")
