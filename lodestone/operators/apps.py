@@ -5,15 +5,17 @@ from __future__ import annotations
 import math
 import time
 from collections.abc import Callable, Iterable
+from dataclasses import replace
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pattern import Pattern, edge_patterns, from_mask, vertex_patterns
-from .frontier import Frontier, match
+from ..functions.pattern import Pattern, add_vertex, edge_patterns, parse, vertex_patterns
+from .frontier import Frontier, Keep, canonical_key, match, roll
 from .graph import Graph
-from .store import kept
+from .store import dropped, kept
 
 Sample = tuple[float, int] | None
 
@@ -75,19 +77,19 @@ def motifs(graph: Graph, k: int, strategy: str = "po", labelled: bool | None = N
         return induced_subgraphs(graph, k, sample).by_pattern(labelled)
     if not labelled:
         return counts(graph, induced_by_pattern(graph, k, strategy, sample)).filter("n > 0")
-    out = []
-    for p, f in induced_by_pattern(graph, k, strategy, sample):
-        rows = f.df
-        if k > 1:  # the last level of an unlabelled plan may lack labels
-            rows = rows.select(*[F.col(f"v{i}") for i in range(k)])
-            for i in range(k):
-                rows = rows.join(graph.sized(graph.vertex_label.select(F.col("v").alias(f"v{i}"), F.col("label").alias(f"l{i}"))), f"v{i}")
-        at = {v: i for i, v in enumerate(f.plan.order)}
-        mask = sum(1 << (max(at[i], at[j]) * (max(at[i], at[j]) - 1) // 2 + min(at[i], at[j])) for i, j, _ in p.edges)
-        out.append(rows.select(F.lit(mask).cast("long").alias("mask"), *[F.col(f"l{i}") for i in range(k)], *[F.col(f"v{i}") for i in range(k)]))
+    out = [as_vertices(p, f).select(*[F.col(f"{c}{i}") for i in range(k) for c in ("v", "l")], *[F.col(f"b{i}") for i in range(1, k)]) for p, f in induced_by_pattern(graph, k, strategy, sample)]
     return Frontier(graph, reduce(DataFrame.unionAll, out), "vertex", k).by_pattern(True)
 
 
+def as_vertices(p: Pattern, f: Frontier) -> DataFrame:
+    """Rows of induced matches of p with the labels and adjacency columns of a vertex frontier, in the order of the plan."""
+    at = {v: i for i, v in enumerate(f.plan.order)}
+    bits = [0] * p.n
+    for i, j, _ in p.edges:
+        bits[max(at[i], at[j])] |= 1 << min(at[i], at[j])
+    return f.with_labels().df.select("*", *[F.lit(bits[i]).cast("long").alias(f"b{i}") for i in range(1, p.n)])
+
+
 # cliques
 
 
@@ -98,7 +100,7 @@ def cliques(graph: Graph, k: int, strategy: str = "kclist") -> DataFrame:
     subgraphs for completeness at each level; pa matches the complete pattern.
     """
     if strategy == "po":
-        full = lambda f: F.col("mask") == (1 << (f.k * (f.k - 1) // 2)) - 1
+        full = lambda f: F.col(f"b{f.k - 1}") == (1 << (f.k - 1)) - 1 if f.k > 1 else F.lit(True)
         f = Frontier.vertices(graph).extend(1).filter(full).explore(k - 1)
         return _rising(f.df, k)
     if strategy in ("pa", "mcvc"):
@@ -124,10 +126,14 @@ def _rising(df: DataFrame, k: int) -> DataFrame:
 def maximal_cliques(graph: Graph, k: int, strategy: str = "custom") -> DataFrame:
     """Cliques of exactly k vertices that no other vertex could join.
 
-    custom carries common neighbours along the oriented walk; po and pa intersect the lists of finished cliques.
+    custom lists the vertices that each clique has in common: where the graph has lists, by carrying them along the
+    oriented walk; otherwise by joins, from the arcs of a clique's first vertex in degree order.  po and pa intersect the
+    lists of finished cliques, or do the same by joins.
     """
+    if not graph.lists:
+        return _maximal_by_joins(graph, cliques(graph, k, "kclist" if strategy == "custom" else strategy), k)
     if strategy == "custom":
-        up = graph.upward
+        up = graph.upward.select("v", "up").join(graph.sized(graph.adjacency.select("v", "nb")), "v")
         df = up.select(F.col("v").alias("v0"), F.col("up").alias("may"), F.col("nb").alias("common"))
         for i in range(1, k):
             side = up.select(F.col("v").alias(f"v{i}"), F.col("up").alias("__up"), F.col("nb").alias("__nb"))
@@ -141,6 +147,18 @@ def maximal_cliques(graph: Graph, k: int, strategy: str = "custom") -> DataFrame
     return df.filter(F.size(common) == 0).select(*[f"v{i}" for i in range(k)])
 
 
+def _maximal_by_joins(graph: Graph, found: DataFrame, k: int) -> DataFrame:
+    names = [f"v{i}" for i in range(k)]
+    found = kept(found)
+    degree = graph.degrees.select("v", "degree")
+    least = found.select(*names, F.explode(F.array(*names)).alias("v")).join(graph.sized(degree), "v").groupBy(*names).agg(F.min(F.struct("degree", "v"))["v"].alias("v"))
+    open_ = least.join(graph.sized(graph.pairs), "v").filter(~F.array_contains(F.array(*names), F.col("nb"))).select(*names, "nb")
+    for c in names:
+        side = graph.pairs.select(F.col("v").alias("__v"), F.col("nb").alias("__nb"))
+        open_ = open_.join(graph.sized(side), (F.col(c) == F.col("__v")) & (F.col("nb") == F.col("__nb")), "left_semi")
+    return found.join(open_.select(*names).distinct(), names, "left_anti")
+
+
 def least_degree(density: float, k: int) -> int:
     return math.ceil(density * (k - 1))
 
@@ -169,25 +187,29 @@ def query(graph: Graph, p: Pattern, strategy: str = "pa", sample: Sample = None)
 
 
 def query_by_edges(graph: Graph, p: Pattern) -> Frontier:
-    """Pattern-oblivious: grow edge subgraphs, keep those whose pattern occurs in p at every level."""
+    """Pattern-oblivious: grow edge subgraphs, keep those whose pattern occurs in p at every level.  Labels of both kinds count."""
     wanted: list[set[str]] = []
-    level = {p.unlabelled().canonical() if p.labels is None else p.canonical()}
+    level = {p.canonical()}
     for _ in range(p.m):
         wanted.insert(0, {q.key() for q in level})
         level = {r.canonical() for q in level for r in _less_one_edge(q)}
-    from .frontier import canonical_key
-
     f = Frontier.edges(graph)
     for keys in wanted:
         f = f.extend(1)
-        mask, labels = f.quick()
+        mask, labels = f.quick(p.edge_labeled)
         labels = labels if p.labels is not None else F.array().cast("array<int>")
-        tagged = f.df.withColumn("__m", mask).withColumn("__l", labels)
+        tagged = kept(f.df.withColumn("__m", mask).withColumn("__l", labels))
         good = tagged.select("__m", "__l").distinct().filter(canonical_key(F.col("__m"), F.col("__l"), f.k, "edge").isin(*keys))
         f = Frontier(graph, kept(tagged.join(good, ["__m", "__l"], "left_semi").drop("__m", "__l")), "edge", f.k)
+        dropped(tagged)
     return f
 
 
+def query_from_cover(graph: Graph, p: Pattern, keep: Keep | None = None) -> Frontier:
+    """Matches of a pattern from those of its connected cover, completed with a predicate that is asked at every step."""
+    return Frontier.pattern(graph, p, "mcvc").matches(keep)
+
+
 def _less_one_edge(p: Pattern) -> Iterable[Pattern]:
     """Connected patterns that p has with one edge less (and without a vertex that this leaves alone)."""
     for e in p.edges:
@@ -219,18 +241,19 @@ def periodic_subgraphs(graph: Graph, k: int, length: int, strategy: str = "po")
     """v0..v{k-1}, common: induced subgraphs whose edges have labels (times) in common that hold a progression of `length`."""
     if strategy != "po":
         return _periodic_by_pattern(graph, k, length, strategy)
-    f = Frontier.vertices(graph, marks=True).extend(1)
-    df = f.df.withColumn("common", F.lit(None).cast("array<int>"))
+    times = graph.edges.select(F.col("src").alias("__s"), F.col("dst").alias("__d"), F.array_sort("labels").alias("__t"))
+    f = Frontier.vertices(graph).extend(1)
+    f = replace(f, df=f.df.withColumn("common", F.lit(None).cast("array<int>")))
     for i in range(1, k):
-        f = Frontier(graph, df, "vertex", i, marks=True).extend(1)
+        f = f.extend(1)
         df = f.df
-        x = F.col(f"v{i}")
         for j in range(i):
-            at = F.array_position(F.col(f"n{j}"), x).cast("int")
-            own = F.array_sort(F.get(F.col(f"m{j}"), at - 1))
-            df = df.withColumn("common", F.when(at == 0, F.col("common")).when(F.col("common").isNull(), own).otherwise(F.array_intersect("common", own)))
-        df = df.filter(has_progression(F.col("common"), length))
-    return df.select(*[f"v{i}" for i in range(k)], "common")
+            ends = (F.least(f"v{i}", f"v{j}") == F.col("__s")) & (F.greatest(f"v{i}", f"v{j}") == F.col("__d"))
+            df = df.join(graph.sized(times), ends, "left")
+            both = F.when(F.col("common").isNull(), F.col("__t")).otherwise(F.array_intersect("common", "__t"))
+            df = df.withColumn("common", F.when(F.col("__s").isNull(), F.col("common")).otherwise(both)).drop("__s", "__d", "__t")
+        f = replace(f, df=df.filter(has_progression(F.col("common"), length)))
+    return f.df.select(*[f"v{i}" for i in range(k)], "common")
 
 
 def _periodic_by_pattern(graph: Graph, k: int, length: int, strategy: str) -> DataFrame:
@@ -261,27 +284,47 @@ def label_search(graph: Graph, k: int, labels: Iterable[int], strategy: str = "p
     return [f for _, f in induced_by_pattern(small, k, strategy)]
 
 
-def articulation_table(graph: Graph, k: int) -> DataFrame:
-    """mask, cut (bit i: vertex i is an articulation point), for the connected graphs of k vertices; k is at most 6."""
-    rows = []
-    for mask in range(1 << (k * (k - 1) // 2)):
-        p = from_mask(k, mask)
-        if p.connected():
-            rows.append((mask, sum(1 << v for v in p.articulation())))
-    return graph.spark.createDataFrame(rows, "mask long, cut int")
+def with_articulation(f: Frontier) -> DataFrame:
+    """The rows of a vertex frontier with cut: bit i is set where vertex i is an articulation point.  Only distinct adjacencies are looked at."""
+    from .frontier import pattern_of
+
+    k = f.k
+
+    @F.pandas_udf("long")
+    def points(masks: pd.Series) -> pd.Series:
+        return pd.Series([sum(1 << v for v in pattern_of(m, (), k, "vertex").articulation()) for m in masks], dtype="int64")
+
+    rows = f.df.withColumn("__m", f.quick()[0].cast("string"))
+    return rows.join(rows.select("__m").distinct().select("__m", points("__m").alias("cut")), "__m").drop("__m")
 
 
 def minimal_keyword_search(graph: Graph, k: int, keywords: Iterable[int], strategy: str = "po", filter_graph: bool = False) -> Frontier:
-    """Induced subgraphs of k vertices with each keyword label exactly once, in which every other vertex is an articulation point."""
+    """Induced subgraphs of k vertices with each keyword label exactly once, in which every other vertex is an articulation point.
+
+    po grows subgraphs; pa matches the patterns that have few enough vertices which are no articulation points.
+    """
     words = sorted(set(keywords))
     if filter_graph:
         graph = graph.filter_edges(lambda u, lu, v, lv, e, le: (lu[0] != lv[0]) | lu[0].isin(*words))
     once = lambda f: reduce(lambda a, b: a & b, [F.size(F.filter(f.labels(), _is(w))) <= 1 for w in words])
+    every = lambda f: reduce(lambda a, b: a & b, [F.array_contains(f.labels(), F.lit(w)) for w in words])
+    if strategy != "po":
+        parts = []
+        for p, f in induced_by_pattern(graph, k, strategy):
+            cut = p.articulation()
+            if k - len(cut) > len(words):
+                continue
+            rows = Frontier(graph, as_vertices(p, f), "vertex", k)
+            needed = reduce(lambda a, b: a & b, [rows.label(f.plan.order.index(v)).isin(*words) for v in range(k) if v not in cut])
+            names = [f"{c}{i}" for i in range(k) for c in ("v", "l")] + [f"b{i}" for i in range(1, k)]
+            parts.append(rows.filter(once(rows) & every(rows) & needed).df.select(*names))
+        if not parts:
+            return Frontier(graph, Frontier.vertices(graph).extend(k).df.limit(0), "vertex", k)
+        return Frontier(graph, reduce(DataFrame.unionAll, parts), "vertex", k)
     f = Frontier.vertices(graph).extend(1).filter(once).explore(k - 1)
-    all_ = reduce(lambda a, b: a & b, [F.array_contains(f.labels(), F.lit(w)) for w in words])
-    df = f.df.filter(all_).join(F.broadcast(articulation_table(graph, k)), "mask")
+    f = f.filter(every(f))
     needed = reduce(lambda a, b: a & b, [f.label(i).isin(*words) | (F.col("cut").bitwiseAND(F.lit(1 << i)) != 0) for i in range(k)])
-    return Frontier(graph, df.filter(needed).drop("cut"), "vertex", k)
+    return Frontier(graph, with_articulation(f).filter(needed).drop("cut"), "vertex", k)
 
 
 def _is(w: int) -> Callable[[Column], Column]:
@@ -346,11 +389,17 @@ def query_specialization(graph: Graph, p: Pattern, strategy: str = "papo") -> Da
 
 def random_walks(graph: Graph, k: int, seeds: int, seed: int = 1) -> Frontier:
     """About `seeds` induced subgraphs of k vertices: random first vertices, each grown by its least candidate."""
-    f = Frontier.vertices(graph).extend(1)
     share = min(1.0, seeds / max(1, graph.num_vertices))
-    f = Frontier(graph, f.df.filter(F.rand(seed) < share), "vertex", 1)
-    least = lambda g: F.slice(F.array_sort(g.candidates()), 1, 1)
-    return f.extend(k - 1, None, least)
+    f = Frontier.vertices(graph).extend(1)
+    f = f.filter(roll([F.col("v0")], seed) < share)
+    for _ in range(k - 1):
+        f = f.extend_least()
+    return f
+
+
+def around_word(graph: Graph, k: int, start: int) -> Frontier:
+    """Induced subgraphs of k vertices whose least vertex is `start` or above."""
+    return Frontier.vertices(graph).extend(1).filter(F.col("v0") >= start).extend(k - 1)
 
 
 def patterns_from_samples(graph: Graph, k: int, seeds: int, seed: int = 1) -> DataFrame:
@@ -371,7 +420,7 @@ def pattern_query_generator(graph: Graph, k: int, fraction: float, seed: int, to
     for density, pool, first in (("least_dense", sparse, F.asc("m")), ("most_dense", rows, F.desc("m"))):
         for often, second in (("least_frequent", F.asc("n")), ("most_frequent", F.desc("n"))):
             top = pool.orderBy(first, second, "pattern").limit(topk)
-            pick = top.orderBy(F.xxhash64("pattern", F.lit(seed))).limit(1).collect()
+            pick = top.orderBy(roll([F.col("pattern")], seed), "pattern").limit(1).collect()
             if pick:
                 out[f"{density}_{often}"] = pick[0].pattern
     return out
@@ -384,7 +433,7 @@ def label_query_generator(graph: Graph, k: int, fraction: float, seed: int, topk
     counted = sets.groupBy("labels").agg(F.count("*").alias("n"))
     low = counted.orderBy("n", "labels").limit(topk).withColumn("place", F.lit("least"))
     high = counted.orderBy(F.desc("n"), "labels").limit(topk).withColumn("place", F.lit("most"))
-    mid = counted.agg(F.percentile_approx("n", 0.5).alias("mid")).first().mid
+    mid = counted.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n)").alias("mid")).first().mid
     middle = counted.orderBy(F.abs(F.col("n") - F.lit(mid or 0)), "labels").limit(topk).withColumn("place", F.lit("middle"))
     return low.unionByName(middle).unionByName(high)
 
@@ -404,10 +453,67 @@ def throughput(graph: Graph, count: Callable[[Graph], int], budget: float, seed:
 def graphlet_features(graph: Graph, k: int, index: DataFrame) -> DataFrame:
     """graph_id, pattern, share: motif counts of each component graph, normalised; index (vertex, graph_id)."""
     f = induced_subgraphs(graph, k)
-    rows = f.df.join(index.select(F.col("vertex").alias("v0"), "graph_id"), "v0")
-    mask = rows.groupBy("graph_id", "mask").agg(F.count("*").alias("n"))
-    from .frontier import canonical_key
-
-    named = mask.select("graph_id", canonical_key(F.col("mask").cast("string"), F.array().cast("array<int>"), k, "vertex").alias("pattern"), "n").groupBy("graph_id", "pattern").agg(F.sum("n").alias("n"))
+    rows = f.df.withColumn("__m", f.quick()[0].cast("string")).join(index.select(F.col("vertex").alias("v0"), "graph_id"), "v0")
+    mask = rows.groupBy("graph_id", "__m").agg(F.count("*").alias("n"))
+    named = mask.select("graph_id", canonical_key(F.col("__m"), F.array().cast("array<int>"), k, "vertex").alias("pattern"), "n").groupBy("graph_id", "pattern").agg(F.sum("n").alias("n"))
     total = named.groupBy("graph_id").agg(F.sum("n").alias("all"))
     return named.join(total, "graph_id").select("graph_id", "pattern", (F.col("n") / F.col("all")).alias("share"))
+
+
+def graphlet_kernel_auc(graph: Graph, k: int, index: DataFrame, classes: DataFrame, train_share: float = 0.6, seed: int = 1) -> float:
+    """Area under the ROC curve, on the graphs left out, of a linear support vector machine over graphlet shares.
+
+    classes (graph_id, label 0 or 1).  A graph is trained on by a hash of its id; patterns are at most the connected ones of k vertices.
+    """
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    names = {p.key(): f"p{i}" for i, p in enumerate(vertex_patterns(k))}
+    wide = graphlet_features(graph, k, index).groupBy("graph_id").agg(*[F.coalesce(F.sum(F.when(F.col("pattern") == key, F.col("share"))), F.lit(0.0)).alias(c) for key, c in names.items()])
+    rows = VectorAssembler(inputCols=list(names.values()), outputCol="features").transform(classes.join(wide, "graph_id").withColumn("label", F.col("label").cast("double")))
+    rows = kept(rows.select("features", "label", (roll([F.col("graph_id")], seed) < train_share).alias("train")))
+    model = LinearSVC(maxIter=50, regParam=0.01).fit(rows.filter("train"))
+    return BinaryClassificationEvaluator(metricName="areaUnderROC").evaluate(model.transform(rows.filter("not train")))
+
+
+def grown_by_label(graph: Graph, p: Pattern, label: int, strategy: str = "pa") -> DataFrame:
+    """One column, n: pairs of an induced match of p and a further vertex with a label that is joined to it.
+
+    pa counts the induced matches of every pattern that p becomes by such a vertex, each as often as it holds p that way;
+    papo matches p and takes every vertex beside each match.
+    """
+    q = Pattern.of(p.n, p.edges, p.labels, induced=True)
+    if strategy == "papo":
+        f = query(graph, q)
+        names = [f"{c}{i}" for i in range(p.n) for c in ("vn" if graph.lists else "v")]
+        rows = f.df.select(*[f"v{i}" for i in range(p.n)])
+        if graph.lists:
+            for i in range(p.n):
+                rows = rows.join(graph.sized(graph.adjacency.select(F.col("v").alias(f"v{i}"), F.col("nb").alias(f"n{i}"))), f"v{i}")
+        near = Frontier(graph, rows.select(*names), "vertex", p.n).touching().select(F.col("x").alias("v"))
+        return near.join(graph.sized(graph.vertex_label.filter(F.col("label") == label)), "v").agg(F.count("*").alias("n"))
+    labels = p.labels if p.labels is not None else None
+    if labels is None:
+        raise ValueError("a pattern with labels is needed")
+    found: dict[str, int] = {}
+    for mask in range(1, 1 << p.n):
+        grown = add_vertex(q, [v for v in range(p.n) if mask >> v & 1], label)
+        found[grown.key()] = _ways(grown, q, label)
+    parts = [query(graph, _induced(parse(key))).df.agg((F.count("*") * ways).alias("n")) for key, ways in sorted(found.items())]
+    return reduce(DataFrame.unionAll, parts).agg(F.sum("n").alias("n"))
+
+
+def _induced(p: Pattern) -> Pattern:
+    return Pattern.of(p.n, p.edges, p.labels, True, p.edge_labeled)
+
+
+def _ways(grown: Pattern, p: Pattern, label: int) -> int:
+    """Vertices with the label without which grown is p."""
+    out = 0
+    for v in range(grown.n):
+        rest = [u for u in range(grown.n) if u != v]
+        at = {u: i for i, u in enumerate(rest)}
+        left = Pattern.of(p.n, [(at[i], at[j], x) for i, j, x in grown.edges if v not in (i, j)], [grown.labels[u] for u in rest])
+        out += grown.labels[v] == label and left.connected() and left.key() == p.key()
+    return out

@@ -1,10 +1,15 @@
 """Enumeration: extend, filter, explore and aggregate over frontiers of subgraphs.
 
-A frontier is a DataFrame with a row per subgraph and scalar columns: v0..v{k-1} for vertices (l* labels, n* neighbour
-lists), e0..e{k-1} for edges.  A level is an expression over the row that lists the valid extensions, an explode, and one
-join with the adjacency (broadcast up to a checked size).  Every connected subgraph appears once: in the order of its
-words in which each next one is above the first word and above all words after its first neighbour.
-Explodes are outer and their nulls dropped by the join, since inner ones make the optimizer compute the list twice.
+A frontier is a DataFrame with a row per subgraph and scalar columns: v0..v{k-1} for vertices (l* labels, b* adjacency to
+earlier ones as bits), e0..e{k-1} for edges (a*, b* ends, la*, lb* their labels, x* the edge's label).  Every connected
+subgraph appears once: in the order of its words in which each next one is above the first word and above all words after
+its first neighbour.
+
+Two physical forms give the same rows.  Where the graph is small and no vertex has many neighbours (Graph.lists), rows
+carry neighbour lists (n*), a level is an expression that lists the valid extensions, and one explode.  Otherwise rows
+carry words alone, extensions come from joins with the arcs, and what an extension touches is gathered by one aggregation:
+no row ever holds the list of a hub.  Explodes are outer and their nulls dropped by the join, since inner ones make the
+optimizer compute the list twice.
 """
 
 from __future__ import annotations
@@ -12,9 +17,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import permutations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.pattern import Pattern, canonical_order, from_mask, parse, text_of
@@ -22,15 +28,36 @@ from ..plans.order import STRATEGIES, Plan, heuristic
 from .graph import Graph
 
 Keep = Callable[["Frontier"], Column]
-NONE = "array<bigint>"
+#: Subgraphs of so many vertices have their adjacency in one long; those of more in a text.
+ONE_MASK, MOST_VERTICES = 11, 63
+#: How partial results by raw pattern are made, and how they are merged by canonical pattern.
+MERGES: dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column]]] = {
+    "count": (F.count, F.sum),
+    "sum": (F.sum, F.sum),
+    "min": (F.min, F.min),
+    "max": (F.max, F.max),
+    "bit_or": (F.bit_or, F.bit_or),
+    "bool_or": (F.bool_or, F.bool_or),
+    "bool_and": (F.bool_and, F.bool_and),
+    "avg": (lambda x: F.struct(F.sum(x).alias("s"), F.count(x).alias("n")), lambda x: F.sum(x["s"]) / F.sum(x["n"])),
+    "collect_set": (F.collect_set, lambda x: F.array_distinct(F.flatten(F.collect_list(x)))),
+    "collect_list": (F.collect_list, lambda x: F.flatten(F.collect_list(x))),
+}
+Merge = str | tuple[Callable[[Column], Column], Callable[[Column], Column]]
 
 
 def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-def _within(array: str, test: Callable[[Column], Column]) -> Column:
-    return F.filter(array, lambda x: test(x))
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def roll(words: list[Column], seed: int) -> Column:
+    """A number from 0 to 1 that depends on words and seed alone, so that samples can be repeated anywhere."""
+    text = F.concat_ws(",", *[w.cast("string") for w in words], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
 @dataclass(frozen=True)
@@ -43,14 +70,12 @@ class Frontier:
     k: int
     plan: Plan | None = None
     steps: tuple[tuple[str, object], ...] = ()
-    marks: bool = False
 
     # roots
 
     @staticmethod
-    def vertices(graph: Graph, marks: bool = False) -> Frontier:
-        """marks: carry edge labels, for filters on them."""
-        return Frontier(graph, None, "vertex", 0, marks=marks)
+    def vertices(graph: Graph) -> Frontier:
+        return Frontier(graph, None, "vertex", 0)
 
     @staticmethod
     def edges(graph: Graph) -> Frontier:
@@ -77,27 +102,34 @@ class Frontier:
     def labels(self) -> Column:
         """First labels of the vertices, in order."""
         if self.kind == "edge":
-            return F.transform(self.vertex_list(), lambda v: F.element_at(self.label_map(), v))
+            return F.transform(self._ends(), lambda x: x["l"])
         return F.array(*[self.label(i) for i in range(self.k)])
 
+    def _ends(self) -> Column:
+        """Vertices of an edge subgraph with their labels, in the order in which its edges name them."""
+        return F.array_distinct(F.array(*[F.struct(F.col(f"{s}{i}").alias("v"), F.col(f"l{s}{i}").alias("l")) for i in range(self.k) for s in "ab"]))
+
     def vertex_list(self) -> Column:
         if self.kind == "edge":
-            return F.array_distinct(F.array(*[F.col(f"{s}{i}") for i in range(self.k) for s in ("a", "b")]))
+            return F.array_distinct(F.array(*[F.col(f"{s}{i}") for i in range(self.k) for s in "ab"]))
         return self.words()
 
-    def label_map(self) -> Column:
-        pairs = F.array_distinct(F.array(*[F.struct(F.col(f"{s}{i}").alias("v"), F.col(f"l{s}{i}").alias("l")) for i in range(self.k) for s in ("a", "b")]))
-        return F.map_from_entries(pairs)
-
     def joined(self, i: int, j: int) -> Column:
         """Whether vertices i and j are adjacent (vertex kind)."""
         i, j = min(i, j), max(i, j)
-        return F.col("mask").bitwiseAND(F.lit(1 << (j * (j - 1) // 2 + i))) != 0
+        return F.col(f"b{j}").bitwiseAND(F.lit(1 << i)) != 0
 
     def degree(self, i: int) -> Column:
         """Degree of vertex i inside the subgraph (vertex kind)."""
-        own = sum(1 << (max(i, j) * (max(i, j) - 1) // 2 + min(i, j)) for j in range(self.k) if j != i)
-        return F.bit_count(F.col("mask").bitwiseAND(F.lit(own)))
+        later = [F.when(self.joined(i, j), 1).otherwise(0) for j in range(i + 1, self.k)]
+        return reduce(lambda a, b: a + b, later, F.bit_count(f"b{i}") if i else F.lit(0))
+
+    def complete(self) -> Column:
+        """Whether all vertices are adjacent (vertex kind)."""
+        return _all([F.col(f"b{i}") == (1 << i) - 1 for i in range(1, self.k)])
+
+    def num_edges(self) -> Column:
+        return reduce(lambda a, b: a + b, [F.bit_count(f"b{i}") for i in range(1, self.k)], F.lit(0))
 
     # extension
 
@@ -107,10 +139,14 @@ class Frontier:
     def _sampled(self, out: Frontier, sample: tuple[float, int] | None) -> Frontier:
         if sample is None or self.k == 0:
             return out
-        return replace(out, df=out.df.filter(F.rand(sample[1] + self.k) <= sample[0]))
+        return replace(out, df=out.df.filter(roll([out.word(i) for i in range(out.k)], sample[1]) <= sample[0]))
 
     def extend(self, n: int = 1, sample: tuple[float, int] | None = None, using: Callable[[Frontier], Column] | None = None) -> Frontier:
-        """n more words.  sample (probability, seed) keeps extensions after the first by chance; using lists candidates itself."""
+        """n more words.  sample (probability, seed) keeps extensions after the first by chance.
+
+        using is an enumerator of one's own: for vertices it lists candidates as an array and needs a graph with lists, for
+        edges it is a condition in place of canonicity.
+        """
         out = self
         for _ in range(n):
             step = getattr(out, f"_extend_{out.kind}")(using)
@@ -132,13 +168,18 @@ class Frontier:
     def process(self, each_partition: Callable[[Iterator], None]) -> None:
         self.df.foreachPartition(each_partition)
 
+    def observed(self, name: str) -> tuple[Frontier, Observation]:
+        """The same frontier, and an observation whose get["n"] is its number of rows once an action has run."""
+        watch = Observation(name)
+        return replace(self, df=self.df.observe(watch, F.count(F.lit(1)).alias("n"))), watch
+
+    # vertices
+
     def candidates(self) -> Column:
-        """Valid next vertices, each once (vertex kind)."""
+        """Valid next vertices, each once (vertex kind, graph with lists)."""
         parts = []
         for i in range(self.k):
-            later = [F.col(f"v{j}") for j in range(i + 1, self.k)]
-            floor = F.greatest(F.col("v0"), *later) if later else F.col("v0")
-            earlier = list(range(i))
+            floor, earlier = self._floor(i), list(range(i))
 
             def test(x: Column, floor: Column = floor, earlier: list[int] = earlier) -> Column:
                 return _all([x > floor, *[~F.array_contains(F.col(f"n{j}"), x) for j in earlier], *[x != F.col(f"v{j}") for j in earlier[1:]]])
@@ -146,128 +187,216 @@ class Frontier:
             parts.append(F.filter(f"n{i}", _one(test)))
         return F.concat(*parts) if len(parts) > 1 else parts[0]
 
+    def _floor(self, first: int) -> Column:
+        """What a next vertex whose first neighbour is word `first` has to exceed."""
+        later = [F.col(f"v{j}") for j in range(first + 1, self.k)]
+        return F.greatest(F.col("v0"), *later) if later else F.col("v0")
+
+    def touching(self) -> DataFrame:
+        """Rows with x, a vertex beside theirs, and bits, bit i for each vertex i next to it; each pair of a row and an x once."""
+        names = self.df.columns
+        if self.graph.lists:
+            near = F.array_except(F.array_distinct(F.flatten(F.array(*[F.col(f"n{i}") for i in range(self.k)]))), self.words())
+            met = self.df.withColumn("x", F.explode_outer(near)).filter("x is not null")
+            return met.withColumn("bits", reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.array_contains(f"n{i}", F.col("x")), F.lit(1 << i)).otherwise(0).cast("long") for i in range(self.k)]))
+        at = self.df.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(self.k - 1)))).withColumn("__at", F.get(self.words(), F.col("__i")))
+        pairs = self.graph.pairs.select(F.col("v").alias("__at"), F.col("nb").alias("x"))
+        met = at.join(self.graph.sized(pairs), "__at").filter(~F.array_contains(self.words(), F.col("x")))
+        return met.groupBy(*names, "x").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__i"))).alias("bits"))
+
+    def _valid(self) -> Column:
+        out = F.lit(False)
+        for i in reversed(range(self.k)):
+            out = F.when(F.col("bits").bitwiseAND(F.lit(1 << i)) != 0, F.col("x") > self._floor(i)).otherwise(out)
+        return out
+
+    def _with_vertex(self, rows: DataFrame) -> Frontier:
+        """The frontier of rows with x and bits."""
+        k = self.k
+        grown = rows.withColumnsRenamed({"x": f"v{k}", "bits": f"b{k}"})
+        side = self.graph.adjacency if self.graph.lists else self.graph.vertex_label
+        names = {"v": f"v{k}", "label": f"l{k}", "nb": f"n{k}"}
+        return self._extended(grown.join(self.graph.sized(side.select(*[F.col(c).alias(names[c]) for c in side.columns])), f"v{k}"))
+
     def _root(self) -> DataFrame:
-        adj = self.graph.marked_adjacency if self.marks else self.graph.adjacency
-        names = {"v": "v0", "label": "l0", "nb": "n0", "marks": "m0"}
-        return adj.select(*[F.col(c).alias(names[c]) for c in adj.columns])
+        side = self.graph.adjacency if self.graph.lists else self.graph.vertex_label
+        names = {"v": "v0", "label": "l0", "nb": "n0"}
+        return side.select(*[F.col(c).alias(names[c]) for c in side.columns])
 
     def _extend_vertex(self, using) -> Frontier:
-        if self.k == 0:
-            return self._extended(self._root().withColumn("mask", F.lit(0).cast("long")))
         k = self.k
-        adj = self.graph.marked_adjacency if self.marks else self.graph.adjacency
-        names = {"v": f"v{k}", "label": f"l{k}", "nb": f"n{k}", "marks": f"m{k}"}
-        adj = adj.select(*[F.col(c).alias(names[c]) for c in adj.columns])
+        if k == 0:
+            return self._extended(self._root())
+        if k >= MOST_VERTICES:
+            raise ValueError(f"a subgraph has {MOST_VERTICES} vertices at most")
+        if not self.graph.lists:
+            if using:
+                raise ValueError("an enumerator of one's own needs a graph with lists (Graph.lists)")
+            return self._with_vertex(self.touching().filter(self._valid()))
+        adj = self.graph.adjacency.select(F.col("v").alias(f"v{k}"), F.col("label").alias(f"l{k}"), F.col("nb").alias(f"n{k}"))
         grown = self.df.withColumn(f"v{k}", F.explode_outer(using(self) if using else self.candidates())).join(self.graph.sized(adj), f"v{k}")
-        bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.array_contains(f"n{i}", F.col(f"v{k}")), F.lit(1 << (k * (k - 1) // 2 + i))).otherwise(0).cast("long") for i in range(k)])
-        return self._extended(grown.withColumn("mask", F.col("mask").bitwiseOR(bits)))
+        bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.array_contains(f"n{i}", F.col(f"v{k}")), F.lit(1 << i)).otherwise(0).cast("long") for i in range(k)])
+        return self._extended(grown.withColumn(f"b{k}", bits))
+
+    def extend_all(self) -> Frontier:
+        """Every vertex beside the subgraph, whatever the order: sets of vertices appear once for each way to reach them."""
+        return self._with_vertex(self.touching())
+
+    def extend_least(self) -> Frontier:
+        """Each subgraph with the least of its valid next vertices; those without any go."""
+        if self.graph.lists:
+            return self._extend_vertex(lambda f: F.slice(F.array_sort(f.candidates()), 1, 1))
+        least = self.touching().filter(self._valid()).groupBy(*self.df.columns).agg(F.min(F.struct("x", "bits")).alias("__least"))
+        return self._with_vertex(least.select(*self.df.columns, "__least.x", "__least.bits"))
 
     def count_next(self) -> DataFrame:
         """How many subgraphs one more vertex makes, without making them (vertex kind): one column, n."""
+        if not self.graph.lists:
+            return self.touching().filter(self._valid()).agg(F.count(F.lit(1)).alias("n"))
         return self.df.select(F.size(self.candidates()).cast("long").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
 
+    # edges
+
     def _extend_edge(self, using) -> Frontier:
         if self.k == 0:
             ends = self.graph.vertex_label
-            side = lambda c, a: ends.select(F.col("v").alias(c), F.col("label").alias(f"l{a}"))
-            e = self.graph.edges.select(F.col("id").alias("e0"), F.col("src").alias("a0"), F.col("dst").alias("b0"))
-            return self._extended(e.join(self.graph.sized(side("a0", "a0")), "a0").join(self.graph.sized(side("b0", "b0")), "b0"))
+            side = lambda c: ends.select(F.col("v").alias(c), F.col("label").alias(f"l{c}"))
+            e = self.graph.edge_label.select(F.col("id").alias("e0"), F.col("src").alias("a0"), F.col("dst").alias("b0"), F.col("label").alias("x0"))
+            return self._extended(e.join(self.graph.sized(side("a0")), "a0").join(self.graph.sized(side("b0")), "b0"))
         k = self.k
-        inc = self.graph.incidence.select(F.col("v").alias("at"), "around")
-        df = self.df.withColumn("at", F.explode_outer(self.vertex_list())).join(self.graph.sized(inc), "at")
-        df = df.withColumn("x", F.explode_outer("around")).select(*self.df.columns, "at", F.col("x.eid").alias("eid"), F.col("x.nb").alias("nb"), F.col("x.far").alias("far"))
-        inside = lambda v: reduce(lambda a, b: a | b, [(v == F.col(f"a{i}")) | (v == F.col(f"b{i}")) for i in range(k)])
-        fresh = ~inside(F.col("nb")) | (F.col("at") < F.col("nb"))  # an edge between two of its vertices is met twice
-        near = F.element_at(self.label_map(), F.col("at"))
+        df = self._incident()
         low = F.col("at") < F.col("nb")
-        df = df.filter(fresh).select(
+        df = df.select(
             *self.df.columns, F.col("eid").alias(f"e{k}"), F.least("at", "nb").alias(f"a{k}"), F.greatest("at", "nb").alias(f"b{k}"),
-            F.when(low, near).otherwise(F.col("far")).alias(f"la{k}"), F.when(low, F.col("far")).otherwise(near).alias(f"lb{k}"),
+            F.when(low, F.col("near")).otherwise(F.col("far")).alias(f"la{k}"), F.when(low, F.col("far")).otherwise(F.col("near")).alias(f"lb{k}"), F.col("mark").alias(f"x{k}"),
         )
         e, valid = F.col(f"e{k}"), F.lit(False)
         for i in reversed(range(k)):  # the first word that shares an end with the new edge decides
-            touch = reduce(lambda a, b: a | b, [F.col(f"{s}{i}") == F.col(f"{t}{k}") for s in "ab" for t in "ab"])
+            touch = _any([F.col(f"{s}{i}") == F.col(f"{t}{k}") for s in "ab" for t in "ab"])
             above = _all([e > F.col("e0"), *[e > F.col(f"e{j}") for j in range(i + 1, k)], *[e != F.col(f"e{j}") for j in range(1, i + 1)]])
             valid = F.when(touch, above).otherwise(valid)
         return self._extended(df.filter(valid if using is None else using(self)))
 
+    def _incident(self) -> DataFrame:
+        """Rows with an edge at one of their vertices: at and its label near, nb and far, eid, mark; edges between two of them once."""
+        ends = self._ends() if self.kind == "edge" else F.transform(self.words(), lambda v: F.struct(v.alias("v"), F.lit(None).cast("int").alias("l")))
+        df = self.df.withColumn("__end", F.explode(ends)).select(*self.df.columns, F.col("__end.v").alias("at"), F.col("__end.l").alias("near"))
+        df = df.join(self.graph.sized(self.graph.incident.withColumnRenamed("v", "at")), "at")
+        return df.filter(~F.array_contains(self.vertex_list(), F.col("nb")) | (F.col("at") < F.col("nb")))
+
     def all_incident_edges(self) -> DataFrame:
         """Every (row, edge) with an end in the row's vertices: the row's columns, eid, x, y; edges between two of them once."""
-        arcs = self.graph.arcs.groupBy("v").agg(F.collect_set(F.struct("eid", "nb")).alias("around")).withColumnRenamed("v", "at")
-        df = self.df.withColumn("all", self.vertex_list()).withColumn("at", F.explode_outer("all")).join(self.graph.sized(arcs), "at")
-        df = df.withColumn("x", F.explode_outer("around")).filter(~F.array_contains("all", F.col("x.nb")) | (F.col("at") < F.col("x.nb")))
-        return df.select(*self.df.columns, F.col("x.eid").alias("eid"), F.least("at", "x.nb").alias("x"), F.greatest("at", "x.nb").alias("y"))
+        return self._incident().select(*self.df.columns, "eid", F.least("at", "nb").alias("x"), F.greatest("at", "nb").alias("y"))
+
+    # patterns
 
     def _extend_pattern(self, using) -> Frontier:
-        k, plan = self.k, self.plan
-        later = plan.steps[k + 1 :]
-        used_later = lambda i: any(i in s.joined or (plan.pattern.induced and i in s.apart) for s in later)
-        marked = plan.pattern.edge_labeled
-        step = plan.steps[k]
-        adj = (self.graph.marked_adjacency if marked else self.graph.adjacency).select(F.col("v").alias(f"v{k}"), F.col("label").alias(f"l{k}"), F.col("nb").alias(f"n{k}"), *([F.col("marks").alias(f"m{k}")] if marked else []))
-        if step.label is not None:
-            adj = adj.filter(F.col(f"l{k}") == step.label)
+        k, step = self.k, self.plan.steps[self.k]
         if k == 0:
-            return self._extended(adj)
+            root = self._root()
+            return self._extended(root if step.label is None else root.filter(F.col("l0") == step.label))
+        return self._extended(self._matched_lists(step) if self.graph.lists and not self.plan.pattern.edge_labeled else self._matched_joins(step))
+
+    def _ordered_by(self, x: Column, step) -> list[Column]:
+        out = [x > F.col(f"v{j}") for j in step.above] + [x < F.col(f"v{j}") for j in step.below]
+        return out + [x != F.col(f"v{j}") for j in step.apart if j not in step.above and j not in step.below]
+
+    def _matched_lists(self, step) -> DataFrame:
+        k = self.k
         first, *rest = step.joined
 
         def test(x: Column) -> Column:
-            out = [F.array_contains(F.col(f"n{j}"), x) for j in rest]
-            out += [x > F.col(f"v{j}") for j in step.above] + [x < F.col(f"v{j}") for j in step.below]
-            if plan.pattern.induced:
-                out += [~F.array_contains(F.col(f"n{j}"), x) for j in step.apart]
-            out += [x != F.col(f"v{j}") for j in step.apart if j not in step.above and j not in step.below]
-            out += [F.get(F.get(F.col(f"m{j}"), F.array_position(F.col(f"n{j}"), x).cast("int") - 1), F.lit(0)).eqNullSafe(F.lit(mark)) for j, mark in step.edge_labels]
-            return _all(out)
+            out = [F.array_contains(F.col(f"n{j}"), x) for j in rest] + self._ordered_by(x, step)
+            return _all(out + ([~F.array_contains(F.col(f"n{j}"), x) for j in step.apart] if self.plan.pattern.induced else []))
 
         grown = self.df.withColumn(f"v{k}", F.explode_outer(F.filter(f"n{first}", _one(test))))
-        if step.label is not None or used_later(k) or not later and self.needs_label:
-            grown = grown.join(self.graph.sized(adj), f"v{k}")
-        else:
-            grown = grown.filter(F.col(f"v{k}").isNotNull())
-        return self._extended(grown)
+        later = self.plan.steps[k + 1 :]
+        used = any(k in s.joined or self.plan.pattern.induced and k in s.apart for s in later)
+        if step.label is None and not used and (later or not self.needs_label):
+            return grown.filter(F.col(f"v{k}").isNotNull())
+        side = self.graph.adjacency.select(F.col("v").alias(f"v{k}"), F.col("label").alias(f"l{k}"), F.col("nb").alias(f"n{k}"))
+        return grown.join(self.graph.sized(side if step.label is None else side.filter(F.col(f"l{k}") == step.label)), f"v{k}")
+
+    def _matched_joins(self, step) -> DataFrame:
+        """The next vertex by joins with the arcs alone: one for each edge of the pattern, and an anti join for each pair that must lie apart."""
+        k, graph = self.k, self.graph
+        marks = dict(step.edge_labels)
+        x = F.col(f"v{k}")
+
+        def arcs(j: int) -> DataFrame:
+            if not self.plan.pattern.edge_labeled:
+                return graph.pairs.select(F.col("v").alias("__v"), F.col("nb").alias("__x"))
+            return graph.incident.filter(F.col("mark") == marks[j]).select(F.col("v").alias("__v"), F.col("nb").alias("__x")).distinct()
+
+        first, *rest = step.joined
+        df = self.df.join(graph.sized(arcs(first)), F.col(f"v{first}") == F.col("__v")).withColumnRenamed("__x", f"v{k}").drop("__v").filter(_all(self._ordered_by(x, step)))
+        if step.label is not None or self.needs_label:
+            side = graph.vertex_label.select(F.col("v").alias(f"v{k}"), F.col("label").alias(f"l{k}"))
+            df = df.join(graph.sized(side if step.label is None else side.filter(F.col(f"l{k}") == step.label)), f"v{k}")
+        for j in rest:
+            df = df.join(graph.sized(arcs(j)), (F.col(f"v{j}") == F.col("__v")) & (x == F.col("__x")), "left_semi")
+        if self.plan.pattern.induced:
+            pairs = graph.pairs.select(F.col("v").alias("__v"), F.col("nb").alias("__x"))
+            for j in step.apart:
+                df = df.join(graph.sized(pairs), (F.col(f"v{j}") == F.col("__v")) & (x == F.col("__x")), "left_anti")
+        return df
 
     @property
     def needs_label(self) -> bool:
         return self.plan.pattern.labels is not None
 
-    def matches(self) -> Frontier:
-        """All positions of the pattern (pattern kind)."""
-        return self.extend(self.plan.pattern.n - self.k)
+    def matches(self, keep: Keep | None = None) -> Frontier:
+        """All positions of the pattern (pattern kind); keep is asked at every further step."""
+        out = self
+        for _ in range(self.plan.pattern.n - self.k):
+            out = out.extend(1)
+            out = out.filter(keep) if keep is not None else out
+        return out
 
     def in_pattern_order(self) -> DataFrame:
         """p0..p{n-1}: the vertex at each position of the pattern as given."""
         return self.df.select(*[F.col(f"v{self.plan.order.index(p)}").alias(f"p{p}") for p in range(self.k)])
 
+    def with_labels(self) -> Frontier:
+        """The rows with the graph's labels l* of all vertices (vertex and pattern kinds), whatever the pattern asks for."""
+        df = self.df.drop(*[f"l{i}" for i in range(self.k)])
+        for i in range(self.k):
+            df = df.join(self.graph.sized(self.graph.vertex_label.select(F.col("v").alias(f"v{i}"), F.col("label").alias(f"l{i}"))), f"v{i}")
+        return replace(self, df=df)
+
     # other kinds
 
-    def to_vertices(self) -> Frontier:
-        """Vertex-induced subgraphs of the same vertices, in canonical order: the least vertex, then each time the least neighbour of those before."""
-        listed = self.df.select(F.array_sort(self.vertex_list()).alias("all")).distinct() if self.kind == "edge" else self.df.select(F.array_sort(self.words()).alias("all"))
-        size = self.k + 1 if self.kind == "edge" else self.k
-        if self.kind == "edge":
-            # edge sets of one frontier may have different numbers of vertices; those of most are kept apart by size
-            size = None
-        df = listed.withColumn("rest", F.col("all"))
-        return _ordered(self.graph, df, size if size is not None else self.k)
+    def to_vertices(self, size: int | None = None) -> Frontier:
+        """Vertex-induced subgraphs of the same vertices, one for each row, in canonical order: the least vertex, then each time the least neighbour of those before.
+
+        Edge subgraphs of one frontier may have different numbers of vertices; size names one of them.
+        """
+        if self.kind != "edge":
+            return _in_vertex_order(self.graph, self.df.select(F.array_sort(self.words()).alias("all")), self.k)
+        if size is None and self.k > 1:
+            raise ValueError("edge subgraphs may have different numbers of vertices: name one, or use to_vertices_by_size()")
+        size = size or 2
+        sets = self.df.select(F.array_sort(self.vertex_list()).alias("all"))
+        return _in_vertex_order(self.graph, sets.filter(F.size("all") == size), size)
+
+    def to_vertices_by_size(self) -> dict[int, Frontier]:
+        """to_vertices() for each number of vertices that k edges may have."""
+        least = next(n for n in range(2, self.k + 2) if n * (n - 1) // 2 >= self.k)
+        return {n: self.to_vertices(n) for n in range(least, self.k + 2)}
 
     def to_edges(self) -> Frontier:
         """Edge-induced subgraphs of the pattern's edges (pattern kind), words in canonical order."""
         p = self.plan.pattern
-        ids = self.graph.edges.select("id", "src", "dst")
+        ids = self.graph.edge_label.select("id", "src", "dst", "label")
         df = self.in_pattern_order().withColumn("__row", F.array(*[F.col(f"p{i}") for i in range(p.n)]))
         pairs = F.array(*[F.struct(F.least(f"p{i}", f"p{j}").alias("src"), F.greatest(f"p{i}", f"p{j}").alias("dst")) for i, j, _ in p.edges])
         each = df.select("__row", F.explode(pairs).alias("e")).select("__row", "e.src", "e.dst").join(self.graph.sized(ids), ["src", "dst"])
-        rows = each.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("id", "src", "dst"))).alias("left"))
-        return _edges_in_order(self.graph, rows, p.m)
+        rows = each.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("id", "src", "dst", "label"))).alias("left"))
+        return _in_edge_order(self.graph, rows, p.m)
 
     def to_pattern(self, plan: Plan) -> Frontier:
         """Matches of a pattern that begin with each row's words in every order that fits (vertex kind)."""
-        k = self.k
-        adj = self.graph.adjacency
-        out = []
-        from itertools import permutations
-
+        k, out = self.k, []
         for order in permutations(range(k)):
             conds = []
             for pos in range(k):
@@ -277,44 +406,67 @@ class Frontier:
                 conds += [v > F.col(f"v{order[j]}") for j in s.above] + [v < F.col(f"v{order[j]}") for j in s.below]
                 if s.label is not None:
                     conds.append(F.col(f"l{order[pos]}") == s.label)
-            out.append(self.df.filter(_all(conds)).select(*[F.col(f"{c}{order[pos]}").alias(f"{c}{pos}") for pos in range(k) for c in ("v", "l", "n")]))
-        del adj
+            parts = "vln" if self.graph.lists else "vl"
+            out.append(self.df.filter(_all(conds)).select(*[F.col(f"{c}{order[pos]}").alias(f"{c}{pos}") for pos in range(k) for c in parts]))
         return Frontier(self.graph, reduce(DataFrame.unionAll, out), "pattern", k, plan=plan)
 
     # aggregation
 
+    def through(self, each: Callable[[Frontier], DataFrame]) -> Frontier:
+        """The frontier with what a callback makes of it in place of its rows: any number of rows for each, any columns."""
+        return replace(self, df=each(self))
+
     def count(self) -> int:
         return self.df.count()
 
     def counted(self, name: str = "n") -> DataFrame:
         return self.df.agg(F.count("*").alias(name))
 
-    def agg(self, value: Column, how: str = "sum", name: str = "value") -> DataFrame:
-        return self.df.agg(getattr(F, how)(value).alias(name))
+    def agg(self, value: Column, how: str | Callable[[Column], Column] = "sum", name: str = "value") -> DataFrame:
+        return self.df.agg((how if callable(how) else getattr(F, how))(value).alias(name))
 
-    def by_key(self, keys: dict[str, Column], value: Column | None = None, how: str = "count", name: str = "n") -> DataFrame:
+    def by_key(self, keys: dict[str, Column], value: Column | None = None, how: str | Callable[[Column], Column] = "count", name: str = "n") -> DataFrame:
         """keys by name; how is any aggregate function of one column (sum, min, max, collect_set, ...)."""
-        made = getattr(F, how)(value if value is not None else F.lit(1)).alias(name)
+        made = (how if callable(how) else getattr(F, how))(value if value is not None else F.lit(1)).alias(name)
         return self.df.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(made)
 
-    def quick(self) -> list[Column]:
-        """Columns that stand for the pattern in the order of discovery: mask or edges by position, and labels."""
+    def reduced(self, keys: dict[str, Column], value: Column, zero: Column, merge: Callable[[Column, Column], Column], name: str = "value", spread: int = 64) -> DataFrame:
+        """Values of each key joined by a merge of one's own, which is associative and commutative and has zero as its neutral value.
+
+        Keys are spread over so many parts first, so no task gathers all values of a frequent key.
+        """
+        names = list(keys)
+        rows = self.df.select(*[c.alias(k) for k, c in keys.items()], value.alias("__x"))
+        for part in (F.pmod(F.xxhash64("__x"), F.lit(spread)), F.lit(0)):
+            rows = rows.groupBy(*names, part.alias("__part")).agg(F.aggregate(F.collect_list("__x"), zero, merge).alias("__x"))
+        return rows.select(*names, F.col("__x").alias(name))
+
+    def quick(self, edge_labels: bool = False) -> list[Column]:
+        """Columns that stand for the pattern in the order of discovery: adjacency, or edges by position, and labels."""
         if self.kind == "vertex":
-            return [F.col("mask").alias("mask"), self.labels().alias("labels")]
+            bits = [F.col(f"b{j}") for j in range(1, self.k)]
+            if self.k <= ONE_MASK:
+                mask = reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(b, j * (j + 1) // 2) for j, b in enumerate(bits)], F.lit(0).cast("long"))
+            else:
+                mask = F.concat_ws(",", *[b.cast("string") for b in bits])
+            return [mask.alias("mask"), self.labels().alias("labels")]
         all_ = self.vertex_list()
         at = lambda c: (F.array_position(all_, F.col(c)) - 1).cast("string")
-        edges = F.concat_ws(",", *[F.concat_ws("-", at(f"a{i}"), at(f"b{i}")) for i in range(self.k)])
-        return [edges.alias("mask"), self.labels().alias("labels")]
+        edges = [F.concat_ws("-", at(f"a{i}"), at(f"b{i}"), *([F.col(f"x{i}").cast("string")] if edge_labels else [])) for i in range(self.k)]
+        return [F.concat_ws(",", *edges).alias("mask"), self.labels().alias("labels")]
 
-    def by_pattern(self, labelled: bool = True, value: Column | None = None, how: str = "sum", name: str = "n") -> DataFrame:
+    def by_pattern(self, labelled: bool = True, value: Column | None = None, how: Merge = "sum", name: str = "n", edge_labels: bool = False) -> DataFrame:
         """pattern (its canonical key) and a count, or an aggregate of value.
 
-        Rows are summed by the quick pattern first, so only distinct quick patterns are canonised, in parallel.
+        Rows are aggregated by the quick pattern first, so only distinct quick patterns are canonised, in parallel; how
+        names a pair of MERGES, or is one: what makes a partial result and what merges them.
         """
-        quick = self.quick() if labelled else [self.quick()[0], F.array().cast("array<int>").alias("labels")]
-        partial = self.df.select(*quick, (value if value is not None else F.lit(1).cast("long")).alias("__x")).groupBy("mask", "labels").agg(getattr(F, how)("__x").alias("__x"))
-        named = partial.select(canonical_key(F.col("mask").cast("string"), F.col("labels"), self.k, self.kind).alias("pattern"), "__x")
-        return named.groupBy("pattern").agg(getattr(F, how)("__x").alias(name))
+        partial, final = MERGES[how] if isinstance(how, str) else how
+        mask, labels = self.quick(edge_labels)
+        quick = [mask, labels if labelled else F.array().cast("array<int>").alias("labels")]
+        rows = self.df.select(*quick, (value if value is not None else F.lit(1).cast("long")).alias("__x")).groupBy("mask", "labels").agg(partial(F.col("__x")).alias("__x"))
+        named = rows.select(canonical_key(F.col("mask").cast("string"), F.col("labels"), self.k, self.kind).alias("pattern"), "__x")
+        return named.groupBy("pattern").agg(final(F.col("__x")).alias(name))
 
 
 def _one(test: Callable[[Column], Column]) -> Callable[[Column], Column]:
@@ -324,9 +476,11 @@ def _one(test: Callable[[Column], Column]) -> Callable[[Column], Column]:
 
 def pattern_of(mask: str, labels: tuple[int, ...], k: int, kind: str) -> Pattern:
     if kind == "vertex":
-        return from_mask(k, int(mask), labels or None)
+        if k <= ONE_MASK:
+            return from_mask(k, int(mask), labels or None)
+        return from_mask(k, sum(int(b) << (j * (j + 1) // 2) for j, b in enumerate(mask.split(","))), labels or None)
     edges = [tuple(map(int, e.split("-"))) for e in mask.split(",")]
-    return Pattern.of(max(map(max, edges)) + 1, edges, labels or None)
+    return Pattern.of(max(max(e[:2]) for e in edges) + 1, edges, labels or None, edge_labeled=len(edges[0]) > 2)
 
 
 def canonical_key(mask: Column, labels: Column, k: int, kind: str) -> Column:
@@ -355,25 +509,40 @@ def canonical_positions(mask: Column, labels: Column, k: int, kind: str) -> Colu
     return place(mask, labels)
 
 
-def _ordered(graph: Graph, df: DataFrame, k: int) -> Frontier:
-    """all (sorted vertices) -> a vertex frontier in canonical order."""
-    out = Frontier.vertices(graph).extend(1)
-    rows = df.select("all", F.col("all")[0].alias("v0"))
-    rows = rows.join(graph.sized(out.df), "v0")
-    front = replace(out, df=rows)
-    for i in range(1, k):
-        next_ = lambda f: F.slice(F.array_sort(F.filter(F.col("all"), lambda x: _all([x != f.word(j) for j in range(f.k)]) & reduce(lambda a, b: a | b, [F.array_contains(F.col(f"n{j}"), x) for j in range(f.k)]))), 1, 1)
-        front = front._extend_vertex(next_)
-    return replace(front, df=front.df.drop("all"), steps=())
+def _bit(rows: str, q: Column, j: Column) -> Column:
+    """Whether vertices at places q and j of a sorted set are adjacent, as 0 or 1."""
+    return F.call_function("shiftright", F.get(rows, q)["bits"], j).bitwiseAND(F.lit(1).cast("long"))
 
 
-def _edges_in_order(graph: Graph, rows: DataFrame, m: int) -> Frontier:
-    """left (sorted structs id, src, dst) -> an edge frontier: the least edge, then each time the least that touches those before."""
-    df = rows.select(F.col("left"), F.col("left")[0].alias("x0"))
+def _in_vertex_order(graph: Graph, sets: DataFrame, k: int) -> Frontier:
+    """all (sorted vertices, rows may repeat) -> a vertex frontier in canonical order."""
+    times = sets.groupBy("all").agg(F.count(F.lit(1)).alias("times"))
+    at = times.select("all", "times", F.posexplode("all").alias("i", "v")).join(graph.sized(graph.pairs), "v").filter(F.array_contains("all", F.col("nb")))
+    place = (F.array_position("all", F.col("nb")) - 1).cast("int")
+    own = at.groupBy("all", "times", "i").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place)).alias("bits"))
+    df = own.groupBy("all", "times").agg(F.array_sort(F.collect_list(F.struct("i", "bits"))).alias("rows")) if k > 1 else times.withColumn("rows", F.array().cast("array<struct<i:int,bits:bigint>>"))
+    df = df.filter(F.size("rows") == k) if k > 1 else df
+    df = df.withColumn("q0", F.lit(0)).withColumn("c0", F.lit(1).cast("long"))
+    for i in range(1, k):
+        free = lambda q, i=i: (F.call_function("shiftright", F.col(f"c{i - 1}"), q).bitwiseAND(F.lit(1).cast("long")) == 0) & (F.get("rows", q)["bits"].bitwiseAND(F.col(f"c{i - 1}")) != 0)
+        df = df.withColumn(f"q{i}", F.array_min(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), _one(free)))).filter(F.col(f"q{i}").isNotNull())
+        df = df.withColumn(f"c{i}", F.col(f"c{i - 1}").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(f"q{i}"))))
+    bits = lambda i: reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(_bit("rows", F.col(f"q{i}"), F.col(f"q{j}")), j) for j in range(i)])
+    df = df.select(F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("__time"), *[F.get("all", F.col(f"q{i}")).alias(f"v{i}") for i in range(k)], *[bits(i).alias(f"b{i}") for i in range(1, k)]).drop("__time")
+    side = graph.adjacency if graph.lists else graph.vertex_label
+    for i in range(k):
+        names = {"v": f"v{i}", "label": f"l{i}", "nb": f"n{i}"}
+        df = df.join(graph.sized(side.select(*[F.col(c).alias(names[c]) for c in side.columns])), f"v{i}")
+    return Frontier(graph, df, "vertex", k)
+
+
+def _in_edge_order(graph: Graph, rows: DataFrame, m: int) -> Frontier:
+    """left (sorted structs id, src, dst, label) -> an edge frontier: the least edge, then each time the least that touches those before."""
+    df = rows.select(F.col("left"), F.col("left")[0].alias("y0"))
     for k in range(1, m):
-        touches = lambda x: reduce(lambda a, b: a | b, [(x[s] == F.col(f"x{j}")[t]) for j in range(k) for s in ("src", "dst") for t in ("src", "dst")]) & _all([x["id"] != F.col(f"x{j}")["id"] for j in range(k)])
-        df = df.withColumn(f"x{k}", F.get(F.filter("left", _one(touches)), F.lit(0)))
-    df = df.select(*[F.col(f"x{i}")[a].alias(f"{b}{i}") for i in range(m) for a, b in (("id", "e"), ("src", "a"), ("dst", "b"))])
+        touches = lambda x, k=k: _any([(x[s] == F.col(f"y{j}")[t]) for j in range(k) for s in ("src", "dst") for t in ("src", "dst")]) & _all([x["id"] != F.col(f"y{j}")["id"] for j in range(k)])
+        df = df.withColumn(f"y{k}", F.get(F.filter("left", _one(touches)), F.lit(0)))
+    df = df.select(*[F.col(f"y{i}")[a].alias(f"{b}{i}") for i in range(m) for a, b in (("id", "e"), ("src", "a"), ("dst", "b"), ("label", "x"))])
     for i in range(m):
         for s in "ab":
             df = df.join(graph.sized(graph.vertex_label.select(F.col("v").alias(f"{s}{i}"), F.col("label").alias(f"l{s}{i}"))), f"{s}{i}")
@@ -389,4 +558,4 @@ def explain_plan(p: Pattern, frequency: dict[int, int] | None = None) -> str:
     return heuristic(p, frequency).text()
 
 
-__all__ = ["Frontier", "canonical_key", "canonical_positions", "explain_plan", "match", "parse", "pattern_of"]
+__all__ = ["Frontier", "MERGES", "canonical_key", "canonical_positions", "explain_plan", "match", "parse", "pattern_of", "roll"]

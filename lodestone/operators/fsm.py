@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.pattern import Pattern, extend_by_edge, parse
 from .frontier import Frontier, canonical_positions, match
 from .graph import Graph
-from .store import kept
+from .store import bounded, dropped, kept
 
 RESULT = "pattern string, support long, n long"
+BROADCAST_PATTERNS, MOST_LABEL_PAIRS = 100_000, 2_000
 
 
 def _placed(f: Frontier, labelled: bool) -> DataFrame:
@@ -39,8 +40,8 @@ def frequent_subgraphs(graph: Graph, min_support: int, max_edges: int = 10, stra
     """pattern, support (exact minimum image), n: connected patterns of at most max_edges edges that are frequent.
 
     po grows edge subgraphs and keeps those of frequent patterns; pa matches candidate patterns, which are the growths
-    of frequent ones none of whose parts is infrequent; mcvc does so with covers first; papo takes pa for single edges and
-    po after.
+    of frequent ones none of whose parts is infrequent; mcvc does so with covers first; papo finds frequent single edges
+    by matching and grows only those.  Edge labels do not count.
     """
     labelled = "v" in graph.labeling if labelled is None else labelled
     if strategy in ("pa", "mcvc"):
@@ -49,13 +50,15 @@ def frequent_subgraphs(graph: Graph, min_support: int, max_edges: int = 10, stra
     f = Frontier.edges(graph).extend(1)
     for level in range(1, max_edges + 1):
         placed = kept(_placed(f, labelled))
-        good = kept(mni(placed).filter(F.col("support") >= min_support))
+        support = pattern_support(graph, _edge_patterns(graph, labelled)) if strategy == "papo" and level == 1 else mni(placed)
+        good = kept(support.filter(F.col("support") >= min_support))
         if not good.limit(1).count():
             break
         found.append(good)
         if level < max_edges:
-            rows = placed.join(F.broadcast(good.select("pattern")), "pattern", "left_semi").select(*f.df.columns)
+            rows = kept(placed.join(bounded(good.select("pattern"), BROADCAST_PATTERNS), "pattern", "left_semi").select(*f.df.columns))
             f = Frontier(graph, rows, "edge", level).extend(1)
+        dropped(placed)
     return reduce(DataFrame.unionByName, found) if found else graph.spark.createDataFrame([], RESULT)
 
 
@@ -73,13 +76,20 @@ def pattern_support(graph: Graph, patterns: Iterable[Pattern], strategy: str = "
     return support.join(rows.groupBy("pattern").agg(F.count("*").alias("n")), "pattern")
 
 
+def _edge_patterns(graph: Graph, labelled: bool) -> list[Pattern]:
+    """The single-edge patterns of a graph.  Patterns are planned on the driver, so MOST_LABEL_PAIRS bounds how many there may be."""
+    if not labelled:
+        return [Pattern.of(2, [(0, 1)])]
+    side = lambda c, a: graph.vertex_label.select(F.col("v").alias(c), F.col("label").alias(a))
+    pairs = graph.edges.join(graph.sized(side("src", "x")), "src").join(graph.sized(side("dst", "y")), "dst").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    rows = pairs.limit(MOST_LABEL_PAIRS + 1).collect()
+    if len(rows) > MOST_LABEL_PAIRS:
+        raise ValueError(f"more than {MOST_LABEL_PAIRS} pairs of labels: mine by growing subgraphs (po)")
+    return [Pattern.of(2, [(0, 1)], (r.x, r.y)) for r in rows]
+
+
 def _by_patterns(graph: Graph, min_support: int, max_edges: int, strategy: str, labelled: bool) -> DataFrame:
-    if labelled:
-        side = lambda c, a: graph.vertex_label.select(F.col("v").alias(c), F.col("label").alias(a))
-        pairs = graph.edges.join(graph.sized(side("src", "x")), "src").join(graph.sized(side("dst", "y")), "dst").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().collect()
-        level = [Pattern.of(2, [(0, 1)], (r.x, r.y)) for r in pairs]
-    else:
-        level = [Pattern.of(2, [(0, 1)])]
+    level = _edge_patterns(graph, labelled)
     found: list[DataFrame] = []
     infrequent: set[str] = set()
     labels: set[int | None] = {None}
@@ -121,6 +131,7 @@ def database_frequent(graph: Graph, index: DataFrame, min_ratio: float, max_edge
             break
         found.append(good)
         if level < max_edges:
-            rows = placed.join(F.broadcast(good.select("pattern")), "pattern", "left_semi").select(*f.df.columns)
+            rows = kept(placed.join(bounded(good.select("pattern"), BROADCAST_PATTERNS), "pattern", "left_semi").select(*f.df.columns))
             f = Frontier(graph, rows, "edge", level).extend(1)
+        dropped(placed)
     return reduce(DataFrame.unionByName, found) if found else graph.spark.createDataFrame([], "pattern string, graphs long, ratio double")

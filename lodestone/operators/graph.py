@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,12 +15,17 @@ VERTICES = "id long, labels array<int>"
 EDGES = "id long, src long, dst long, labels array<int>"
 
 
+#: A graph whose vertices have no more neighbours than this may carry their lists in the rows of a frontier.
+LIST_DEGREE = 2_000
+
+
 @dataclass(frozen=True)
 class Graph:
     """vertices (id, labels), edges (id, src, dst, labels) with src < dst.
 
     labeling says which labels count: v, e, ve or n; a label that does not count is 1 for vertices and 0 for edges.
     broadcast_edges bounds the adjacency that is sent to every executor; a larger one is joined by shuffle.
+    list_degree bounds the neighbour lists that rows of a frontier may carry; a graph with a larger degree is mined by joins.
     Derived tables are kept when first used: every level of a mining query joins one of them again.
     """
 
@@ -28,16 +33,12 @@ class Graph:
     edges: DataFrame
     labeling: str = "ve"
     broadcast_edges: int = 1_000_000
-    conf: dict = field(default_factory=dict)
+    list_degree: int = LIST_DEGREE
 
     @property
     def spark(self) -> SparkSession:
         return self.edges.sparkSession
 
-    def set(self, key: str, value) -> Graph:
-        """A copy with one more setting."""
-        return replace(self, conf={**self.conf, key: value})
-
     @cached_property
     def vertex_label(self) -> DataFrame:
         """v, label: the first label."""
@@ -61,6 +62,15 @@ class Graph:
     def fits(self) -> bool:
         return self.num_edges <= self.broadcast_edges
 
+    @cached_property
+    def max_degree(self) -> int:
+        return self.degrees.agg(F.max("degree")).first()[0] or 0
+
+    @cached_property
+    def lists(self) -> bool:
+        """Whether rows of a frontier carry neighbour lists: the graph is broadcast, and no list is long."""
+        return self.fits and self.max_degree <= self.list_degree
+
     def sized(self, df: DataFrame) -> DataFrame:
         """df, with a broadcast hint where the graph is small enough; df must be no larger than its adjacency."""
         return F.broadcast(df) if self.fits else df
@@ -79,20 +89,18 @@ class Graph:
         return kept(self.vertex_label.join(near, "v", "left").withColumn("nb", F.coalesce("nb", F.array().cast("array<bigint>"))))
 
     @cached_property
-    def marked_adjacency(self) -> DataFrame:
-        """v, label, nb, marks: as adjacency, with the labels of the edge to each neighbour beside it."""
-        item = F.struct("nb", "marks")
-        near = self.arcs.groupBy("v").agg(F.sort_array(F.collect_list(item)).alias("all"))
-        near = near.select("v", F.col("all.nb").alias("nb"), F.col("all.marks").alias("marks"))
-        out = self.vertex_label.join(near, "v", "left")
-        return kept(out.withColumn("nb", F.coalesce("nb", F.array().cast("array<bigint>"))).withColumn("marks", F.coalesce("marks", F.array().cast("array<array<int>>"))))
+    def pairs(self) -> DataFrame:
+        """v, nb: every vertex with each of its neighbours, once."""
+        return kept(self.arcs.select("v", "nb").distinct())
 
     @cached_property
-    def incidence(self) -> DataFrame:
-        """v, around: edges at a vertex as (eid, nb, the neighbour's label), by edge id."""
+    def incident(self) -> DataFrame:
+        """v, nb, eid, far, mark: every vertex with each edge at it, the label of its other end and the edge's first label."""
         far = self.vertex_label.select(F.col("v").alias("nb"), F.col("label").alias("far"))
-        arcs = self.arcs.select("v", "nb", "eid").join(far, "nb")
-        return kept(arcs.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("eid", "nb", "far"))).alias("around")))
+        e = self.edge_label
+        arcs = e.select(F.col("src").alias("v"), F.col("dst").alias("nb"), F.col("id").alias("eid"), F.col("label").alias("mark"))
+        arcs = arcs.union(e.select("dst", "src", "id", "label"))
+        return kept(arcs.join(self.sized(far), "nb").select("v", "nb", "eid", "far", "mark"))
 
     @cached_property
     def degrees(self) -> DataFrame:
@@ -100,13 +108,12 @@ class Graph:
 
     @cached_property
     def upward(self) -> DataFrame:
-        """v, up, nb: neighbours that come later by (degree, id).  Each clique appears once, and no list exceeds sqrt(2 m)."""
+        """v, up: neighbours that come later by (degree, id).  Each clique appears once, and no list exceeds sqrt(2 m)."""
         d = self.degrees.select("v", "degree")
-        arcs = self.arcs.select("v", "nb").distinct().join(d, "v").join(d.select(F.col("v").alias("nb"), F.col("degree").alias("far")), "nb")
         later = F.struct("far", "nb") > F.struct("degree", "v")
-        lists = arcs.groupBy("v").agg(F.array_sort(F.collect_list(F.when(later, F.col("nb")))).alias("up"), F.array_sort(F.collect_list("nb")).alias("nb"))
-        none = F.array().cast("array<bigint>")
-        return kept(self.vertex_label.join(lists, "v", "left").select("v", "label", F.coalesce("up", none).alias("up"), F.coalesce("nb", none).alias("nb")))
+        arcs = self.pairs.join(self.sized(d), "v").join(self.sized(d.select(F.col("v").alias("nb"), F.col("degree").alias("far"))), "nb").filter(later)
+        lists = arcs.groupBy("v").agg(F.array_sort(F.collect_list("nb")).alias("up"))
+        return kept(self.vertex_label.join(lists, "v", "left").select("v", "label", F.coalesce("up", F.array().cast("array<bigint>")).alias("up")))
 
     def label_frequencies(self) -> DataFrame:
         return self.vertex_label.groupBy("label").agg(F.count("*").alias("n"))
@@ -146,22 +153,35 @@ class Graph:
         df = self.edges.join(side("src"), "src").join(side("dst"), "dst")
         return replace(self, edges=df.filter(keep(df)).select("id", "src", "dst", "labels"))
 
+    # accessors
+
     def neighbours(self, v: int) -> DataFrame:
         return self.arcs.filter(F.col("v") == v).select("nb").distinct()
 
     def edges_between(self, u: int, v: int) -> DataFrame:
         return self.edges.filter((F.col("src") == min(u, v)) & (F.col("dst") == max(u, v)))
 
+    def degree(self, v: int) -> int:
+        """Neighbours of a vertex; 0 for one that is not there."""
+        row = self.degrees.filter(F.col("v") == v).first()
+        return row.degree if row else 0
+
+    def common_edge_labels(self, pairs: DataFrame) -> DataFrame:
+        """pairs (group, u, v) of joined vertices -> group, labels: the sorted labels that all edges of a group have.
+
+        Parallel edges count as one with the labels of all; a group with a pair that is not joined has none.
+        """
+        marks = self.edges.groupBy("src", "dst").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("labels", F.array().cast("array<int>"))))).alias("labels"))
+        ends = pairs.select("group", F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).distinct()
+        all_ = ends.groupBy("group").agg(F.count("*").alias("n"))
+        each = ends.join(marks, ["src", "dst"]).select("group", F.explode("labels").alias("label")).groupBy("group", "label").agg(F.count("*").alias("n"))
+        found = each.join(all_, ["group", "n"]).groupBy("group").agg(F.array_sort(F.collect_list("label")).alias("labels"))
+        return all_.select("group").join(found, "group", "left").select("group", F.coalesce("labels", F.array().cast("array<int>")).alias("labels"))
+
     def kept(self) -> Graph:
         """The same graph with both tables computed once."""
         return replace(self, vertices=kept(self.vertices), edges=kept(self.edges))
 
-    def neighbours(self, v: int) -> DataFrame:
-        return self.arcs.filter(F.col("v") == v).select("nb").distinct()
-
-    def edges_between(self, u: int, v: int) -> DataFrame:
-        return self.edges.filter((F.col("src") == min(u, v)) & (F.col("dst") == max(u, v)))
-
 
 def ranked(df: DataFrame, *order: str) -> DataFrame:
     """df with __rank from 0 in the order of columns that are distinct together.
@@ -173,7 +193,7 @@ def ranked(df: DataFrame, *order: str) -> DataFrame:
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.groupBy("__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     own = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return parts.withColumn("__own", own).join(offsets, "__part").withColumn("__rank", F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
+    return parts.withColumn("__own", own).join(F.broadcast(offsets), "__part").withColumn("__rank", F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
 
 
 def from_edges(edges: DataFrame, vertices: DataFrame | None = None, labeling: str = "ve", packed: bool = False, **options) -> Graph:
@@ -196,14 +216,6 @@ def from_edges(edges: DataFrame, vertices: DataFrame | None = None, labeling: st
     return Graph(vertices.select(F.col("id").cast("long").alias("id"), labels.alias("labels")), numbered, labeling, **options)
 
 
-def compacted(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Arbitrary keys to dense ids: edges (u, v) by id, and the map (key, id)."""
-    keys = edges.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    ids = ranked(keys, "key").select("key", F.col("__rank").alias("id"))
-    side = lambda c: ids.select(F.col("key").alias(c), F.col("id").alias(f"__{c}"))
-    return edges.join(side("u"), "u").join(side("v"), "v").select(F.col("__u").alias("u"), F.col("__v").alias("v")), ids
-
-
 def reordered(graph: Graph, permutation: DataFrame) -> Graph:
     """permutation (old, new): vertices renumbered, edges numbered anew by (src, dst)."""
     side = lambda c: permutation.select(F.col("old").alias(c), F.col("new").alias(f"__{c}"))

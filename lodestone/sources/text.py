@@ -1,41 +1,38 @@
 """Graphs as text: directories of adjacency lists, one-file adjacency, edge lists, vertex-to-graph files.
 
 All reading and writing goes through Spark, so any file system that it knows will do.  Line numbers, which are ids here,
-come from one ordered pass: files by part number, lines by their place in the file.
+count files by part number and lines by their place in the file.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.pattern import Pattern, parse, text_of, vertex_patterns
 from ..operators.graph import Graph, from_edges, ranked
 
 
 
-def part_number() -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract("__file", r"part-(\d+)", 1), F.lit("")).cast("long"), F.lit(0))
-
-
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame | None:
     """line (from 0) and value of a text file or a directory of part files in numeric order; None if there is none.
 
-    Each file is read whole by one task and exploded with its line numbers; files are shifted by the counts before them.
+    Files are read in splits, by many tasks.  Rows of a split have consecutive ids in their order, so a line's number is its
+    distance from the first of its split, plus the lines of all splits before; only a row for each split is sent around.
     """
     try:
-        files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("__file"), "value")
-        files.limit(1).count()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
+        raw = spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    # a line end closes a line, so the last one leaves nothing behind it
-    body = F.regexp_replace("value", r"\r?\n\z", "")
-    lines = files.filter(F.length("value") > 0).select(part_number().alias("__part"), "__file", F.split(body, r"\r?\n").alias("all"))
-    before = Window.orderBy("__part", "__file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = lines.select("__part", "__file", F.size("all").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("__file", "start")
-    each = lines.select("__file", F.posexplode("all").alias("at", "value"))
-    return each.join(starts, "__file").select((F.col("start") + F.col("at")).alias("line"), "value")
+    part = F.coalesce(F.nullif(F.regexp_extract("__file", r"part-(\d+)", 1), F.lit("")).cast("long"), F.lit(0))
+    rows = raw.select(F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__id"), "value")
+    splits = rows.groupBy("__file", "__start").agg(F.min("__id").alias("__first"), F.count("*").alias("__n")).withColumn("__part", part)
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part", "__file", "__start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = splits.select("__file", "__start", (before - F.col("__first")).alias("__shift"))
+    return rows.join(F.broadcast(begins), ["__file", "__start"]).select((F.col("__id") + F.col("__shift")).alias("line"), "value")
 
 
 def ints(value: Column, separator: str) -> Column:
@@ -98,7 +95,7 @@ def read_single_file(spark: SparkSession, path: str, **options) -> Graph:
     parts = F.array_remove(F.split(F.trim("value"), r"\s+"), "")
     vertices = rows.select(F.col("line").alias("id"), ints(F.get(parts, F.lit(0)), ",").alias("labels"))
     items = rows.select(F.col("line").alias("src"), F.explode(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).alias("item")).select("src", F.split("item", ",").alias("f"))
-    edges = items.select("src", F.col("f")[0].cast("long").alias("dst"), F.col("f")[1].cast("long").alias("id"), F.transform(F.slice("f", 3, 1 << 20), lambda x: x.cast("int")).alias("labels")).filter("src < dst")
+    edges = items.select("src", F.col("f")[0].cast("long").alias("dst"), F.col("f")[1].cast("long").alias("id"), F.transform(F.slice("f", F.lit(3), F.greatest(F.size("f") - 2, F.lit(0))), lambda x: x.cast("int")).alias("labels")).filter("src < dst")
     return Graph(vertices, edges.select("id", "src", "dst", "labels"), **options)
 
 
@@ -130,3 +127,48 @@ def edge_list(graph: Graph) -> DataFrame:
 def read_graph_index(spark: SparkSession, path: str) -> DataFrame:
     """vertex, graph_id: one integer on each line."""
     return numbered_lines(spark, path).select(F.col("line").alias("vertex"), F.trim("value").cast("int").alias("graph_id"))
+
+
+def _write_lines(spark: SparkSession, lines: list[str], path: str) -> None:
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def _read_lines(spark: SparkSession, path: str) -> list[str] | None:
+    """A small text, in order."""
+    rows = numbered_lines(spark, path)
+    return None if rows is None else [r.value for r in rows.orderBy("line").collect()]
+
+
+def write_pattern(spark: SparkSession, p: Pattern, folder: str) -> None:
+    """A pattern directory on any file system that Spark knows: metadata, edges, vlabels, elabels."""
+    parts = {"metadata": [f"{p.n} {p.m}"], "edges": [f"{i} {j}" for i, j, _ in p.edges]}
+    if p.labels is not None:
+        parts["vlabels"] = [str(x) for x in p.labels]
+    if p.edge_labeled:
+        parts["elabels"] = [str(x) for _, _, x in p.edges]
+    for name, lines in parts.items():
+        _write_lines(spark, lines, f"{folder}/{name}")
+
+
+def read_pattern(spark: SparkSession, folder: str, labeling: str = "ve") -> Pattern:
+    """A pattern directory; labels count as far as the labelling (n, v, e, ve) honours them."""
+    get = lambda name: [x for x in _read_lines(spark, f"{folder}/{name}") or [] if x.strip()]
+    n, m = map(int, get("metadata")[0].split()[:2])
+    edges = [tuple(map(int, x.split()[:2])) for x in get("edges")]
+    if len(edges) != m:
+        raise ValueError(f"{folder}: {m} edges are announced, {len(edges)} are there")
+    labels = get("vlabels") if "v" in labeling else []
+    marks = get("elabels") if "e" in labeling else []
+    if marks:
+        edges = [(*e, int(x)) for e, x in zip(edges, marks, strict=True)]
+    return Pattern.of(n, edges, map(int, labels) if labels else None, edge_labeled=bool(marks))
+
+
+def pattern_set(spark: SparkSession, k: int, folder: str) -> DataFrame:
+    """pattern: canonical keys of all connected patterns of k vertices, from the folder if they are there; else made and written."""
+    path = f"{folder}/vpatterns-{k}"
+    found = _read_lines(spark, path)
+    if found is None:
+        found = [text_of(p) for p in vertex_patterns(k)]
+        _write_lines(spark, found, path)
+    return spark.createDataFrame([(text_of(parse(x)),) for x in found], "pattern string")
