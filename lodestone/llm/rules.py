@@ -60,11 +60,15 @@ def measured(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None)
     left = lambda pattern: F.length(F.regexp_replace("__text", pattern, "")).cast("long")
     lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     listed = F.transform(F.filter("__words", lambda w: F.lower(w).isin(*WORDS)), lambda w: F.lower(w))
-    foreign = left(r"[^\p{L}]+|\p{IsLatin}+") > FOREIGN * left(r"\P{L}+")
     df = df.select(
-        "doc_id", "__lang", "__words", foreign.alias("__foreign"), F.length("__text").cast("long").alias("__chars"), F.size("__words").cast("long").alias("n_words"), left(GAP).alias("word_chars"), left(r"[^#*$%&|<>]+").alias("n_symbols"),
+        "doc_id", "__lang", "__words", "__text", F.length("__text").cast("long").alias("__chars"), F.size("__words").cast("long").alias("n_words"), left(GAP).alias("word_chars"), left(r"[^#*$%&|<>]+").alias("n_symbols"),
         lines.alias("__lines"), listed.alias("__listed"), F.array(*[left(f"[^{c}]+") for c in CLASSES]).alias("__seen"),
     )
+    # a letter of another script has a byte more than a character at least: where there are too few such bytes, none is looked for
+    cased = F.col("__seen")[0] + F.col("__seen")[1]
+    counted = left(r"[^\p{L}]+|\p{IsLatin}+") > FOREIGN * left(r"\P{L}+")
+    foreign = F.when(F.octet_length("__text") - F.col("__chars") > FOREIGN * cased, counted).otherwise(F.lit(False))
+    df = df.select(*[c for c in df.columns if c != "__text"], foreign.alias("__foreign"))
     df = repeated_words(df, "__words", "n_repeat_words")
     rest = F.col("__chars") - F.aggregate("__seen", F.lit(0).cast("long"), lambda a, x: a + x)
     each = F.array(*[(F.size("__listed") - F.size(F.array_remove("__listed", w))).cast("long") for w in WORDS])
