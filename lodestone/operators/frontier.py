@@ -292,10 +292,11 @@ class Frontier:
 
     def _extend_pattern(self, using) -> Frontier:
         k, step = self.k, self.plan.steps[self.k]
+        by_lists = self.graph.lists and not self.plan.pattern.edge_labeled
         if k == 0:
-            root = self._root()
+            root = self._root() if by_lists else self.graph.degrees.select(F.col("v").alias("v0"), F.col("label").alias("l0"), F.col("degree").alias("g0"))
             return self._extended(root if step.label is None else root.filter(F.col("l0") == step.label))
-        return self._extended(self._matched_lists(step) if self.graph.lists and not self.plan.pattern.edge_labeled else self._matched_joins(step))
+        return self._extended(self._matched_lists(step) if by_lists else self._matched_joins(step))
 
     def _ordered_by(self, x: Column, step) -> list[Column]:
         out = [x > F.col(f"v{j}") for j in step.above] + [x < F.col(f"v{j}") for j in step.below]
@@ -318,28 +319,27 @@ class Frontier:
         return grown.join(self.graph.sized(side if step.label is None else side.filter(F.col(f"l{k}") == step.label)), f"v{k}")
 
     def _matched_joins(self, step) -> DataFrame:
-        """The next vertex by joins with the arcs alone: one for each edge of the pattern, and an anti join for each pair that must lie apart."""
+        """The next vertex by joins with the arcs alone.
+
+        Each row takes the neighbours of the one of its vertices, among those the new vertex is joined to, that has fewest
+        (g* are degrees), so a hub is only spread out where the pattern leaves no other way; semi joins check the other edges
+        of the pattern, anti joins what must lie apart.
+        """
         k, graph = self.k, self.graph
         marks = dict(step.edge_labels)
         x = F.col(f"v{k}")
-
-        def arcs(j: int) -> DataFrame:
-            if not self.plan.pattern.edge_labeled:
-                return graph.pairs.select(F.col("v").alias("__v"), F.col("nb").alias("__x"))
-            return graph.incident.filter(F.col("mark") == marks[j]).select(F.col("v").alias("__v"), F.col("nb").alias("__x")).distinct()
-
-        first, *rest = step.joined
-        df = self.df.join(graph.sized(arcs(first)), F.col(f"v{first}") == F.col("__v")).withColumnRenamed("__x", f"v{k}").drop("__v").filter(_all(self._ordered_by(x, step)))
-        if step.label is not None or self.needs_label:
-            side = graph.vertex_label.select(F.col("v").alias(f"v{k}"), F.col("label").alias(f"l{k}"))
-            df = df.join(graph.sized(side if step.label is None else side.filter(F.col(f"l{k}") == step.label)), f"v{k}")
-        for j in rest:
-            df = df.join(graph.sized(arcs(j)), (F.col(f"v{j}") == F.col("__v")) & (x == F.col("__x")), "left_semi")
+        pairs = graph.pairs.select(F.col("v").alias("__v"), F.col("nb").alias("__x"))
+        least = F.least(*[F.struct(F.col(f"g{j}").alias("g"), F.col(f"v{j}").alias("v")) for j in step.joined]) if len(step.joined) > 1 else F.struct(F.col(f"v{step.joined[0]}").alias("v"))
+        df = self.df.withColumn("__at", least["v"]).join(graph.sized(pairs), F.col("__at") == F.col("__v")).withColumnRenamed("__x", f"v{k}").drop("__v", "__at").filter(_all(self._ordered_by(x, step)))
+        if len(step.joined) > 1 or marks:
+            for j in step.joined:
+                there = pairs if not marks else graph.incident.filter(F.col("mark") == marks[j]).select(F.col("v").alias("__v"), F.col("nb").alias("__x"))
+                df = df.join(graph.sized(there), (F.col(f"v{j}") == F.col("__v")) & (x == F.col("__x")), "left_semi")
         if self.plan.pattern.induced:
-            pairs = graph.pairs.select(F.col("v").alias("__v"), F.col("nb").alias("__x"))
             for j in step.apart:
                 df = df.join(graph.sized(pairs), (F.col(f"v{j}") == F.col("__v")) & (x == F.col("__x")), "left_anti")
-        return df
+        side = graph.degrees.select(F.col("v").alias(f"v{k}"), F.col("label").alias(f"l{k}"), F.col("degree").alias(f"g{k}"))
+        return df.join(graph.sized(side if step.label is None else side.filter(F.col(f"l{k}") == step.label)), f"v{k}")
 
     @property
     def needs_label(self) -> bool:
@@ -408,7 +408,11 @@ class Frontier:
                     conds.append(F.col(f"l{order[pos]}") == s.label)
             parts = "vln" if self.graph.lists else "vl"
             out.append(self.df.filter(_all(conds)).select(*[F.col(f"{c}{order[pos]}").alias(f"{c}{pos}") for pos in range(k) for c in parts]))
-        return Frontier(self.graph, reduce(DataFrame.unionAll, out), "pattern", k, plan=plan)
+        df = reduce(DataFrame.unionAll, out)
+        if not self.graph.lists or plan.pattern.edge_labeled:
+            for i in range(k):
+                df = df.join(self.graph.sized(self.graph.degrees.select(F.col("v").alias(f"v{i}"), F.col("degree").alias(f"g{i}"))), f"v{i}")
+        return Frontier(self.graph, df, "pattern", k, plan=plan)
 
     # aggregation
 
