@@ -14,11 +14,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.pattern import read_pattern, text_of, vertex_patterns, write_pattern
+from .functions.pattern import parse, text_of, vertex_patterns
 from .operators import apps, fsm
 from .operators.frontier import Frontier, explain_plan
 from .operators.graph import Graph
-from .sources.text import read_graph
+from .sources.text import read_graph, read_pattern, write_pattern
 
 
 @dataclass
@@ -36,7 +36,7 @@ class Call:
 
     def pattern(self, i: int = 0, induced: bool = False):
         labeling = self.args[i + 1] if len(self.args) > i + 1 and set(self.args[i + 1]) <= set("nve") else "v"
-        p = read_pattern(self.args[i], labeling)
+        p = read_pattern(self.graph.spark, self.args[i], labeling)
         return type(p).of(p.n, p.edges, p.labels, induced, p.edge_labeled)
 
     def sample(self, i: int) -> tuple[float, int]:
@@ -142,7 +142,12 @@ def _query_po(c: Call, name: str) -> DataFrame:
     return _count(apps.query_by_edges(c.graph, c.pattern()).df)
 
 
-@app("pattern_querying_pa", "pattern_querying_pa_mcvc", "pattern_querying_pa_mcvc_old", "pattern_querying_induced_pa", "pattern_querying_induced_pa_mcvc")
+@app("pattern_querying_pa_mcvc_old")
+def _query_cover(c: Call, name: str) -> DataFrame:
+    return _count(apps.query_from_cover(c.graph, c.pattern()).df)
+
+
+@app("pattern_querying_pa", "pattern_querying_pa_mcvc", "pattern_querying_induced_pa", "pattern_querying_induced_pa_mcvc")
 def _query(c: Call, name: str) -> DataFrame:
     return _count(apps.query(c.graph, c.pattern(induced="induced" in name), strategy(name)).df)
 
@@ -179,12 +184,10 @@ def _minimal(c: Call, name: str) -> DataFrame:
 
 @app("pattern_query_generator")
 def _pattern_queries(c: Call, name: str) -> DataFrame:
-    from .functions.pattern import parse
-
     found = apps.pattern_query_generator(c.graph, c.size, float(c.args[0]), int(c.args[1]), int(c.args[2]))
     if len(c.args) > 3:
         for kind, key in found.items():
-            write_pattern(parse(key), f"{c.args[3]}/{kind}")
+            write_pattern(c.graph.spark, parse(key), f"{c.args[3]}/{kind}")
     return c.graph.spark.createDataFrame(sorted(found.items()), "kind string, pattern string")
 
 
