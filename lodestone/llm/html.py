@@ -6,7 +6,7 @@ those at or over the threshold, which is the lesser of the mean and the standard
 The marked text then decides three things.  It tells which elements that look like furniture are some: an element whose
 tag or class says so is dropped unless it holds at least half of the marked text of the page (and of the text of its
 articles, if there are any), and one whose class only contains such a word is dropped if most of its text is unmarked.  It votes for the content region: the innermost article
-or main with half of it, or else the innermost box with 80 %.  And where the region is no article or main, its clusters
+or main with half of it, or else the innermost box with 80 % and boxes around it that hold running text themselves.  And where the region is no article or main, its clusters
 select content: marked lines, what stands between or beside them in their own boxes, and headings; lines apart from all
 clusters and lists of links go.
 
@@ -214,10 +214,14 @@ def main_text(html: str | None) -> str:
             region = max(fit, key=lambda b: (depth[b], mass[b]))
             break
     whole = tag[region] in ("article", "main")
-    if not whole and region:  # a title beside the region belongs to it
+    if not whole and region:
         heads = sums([line[5] and not out[line[0]] for line in lines])
-        while region and heads[up[region]] > heads[region]:
-            region = up[region]
+        own = {line[0] for line, m in zip(lines, good, strict=True) if m and 2 * line[3] <= len(line[1])}
+        at = region
+        while at:  # a title beside the region belongs to it, and so does running text right in a box around it
+            at = up[at]
+            if heads[at] > heads[region] or at in own:
+                region = at
     inside = [False] * n
     inside[region] = True
     for b in range(region + 1, n):
@@ -230,14 +234,15 @@ def main_text(html: str | None) -> str:
 
 def _clusters(kept: list[int], lines: list[tuple], good: list[bool]) -> list[int]:
     """Lines of a region that its clusters of marked lines select."""
-    at = [i for i in kept if good[i]]
+    text = {i for i in kept if 2 * lines[i][3] <= len(lines[i][1])}  # the smoothing marks links beside running text too
+    at = [i for i in kept if good[i] and i in text]
     if not at:
         return kept
     first, last, homes = at[0], at[-1], {lines[i][0] for i in at}
     out = []
     for i in kept:
-        box, text, _, linked, heading, _ = lines[i]
-        if good[i] or box in homes or heading and i < last or first < i < last and 2 * linked <= len(text):
+        box, _, _, _, heading, _ = lines[i]
+        if good[i] and i in text or box in homes or heading and i < last or first < i < last and i in text:
             out.append(i)
     return out
 

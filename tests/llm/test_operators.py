@@ -8,6 +8,7 @@ import json
 import math
 import random
 import re
+import time
 import unicodedata
 from binascii import crc32
 
@@ -197,6 +198,58 @@ def test_html_head_ends_without_its_end_tag():
         assert pages_html.main_text(head + rest) == pages_html.main_text(head + "</head>" + rest) == "Some text."
 
 
+def words(n, seed=1):
+    return prose(random.Random(seed), n)
+
+
+def test_html_furniture_by_class_and_by_text():
+    long, more = words(60), words(50, 2)
+    assert pages_html.main_text(f'<article><div class="article-header"><h1>Title</h1></div><p>{long}</p></article>') == f"Title\n\n{long}"
+    assert pages_html.main_text(f'<body><div class="content-sidebar-wrap"><h1>T</h1><p>{long}</p><p>{more}</p></div></body>') == f"T\n\n{long}\n\n{more}"
+    assert pages_html.main_text(f"<body><form><h1>T</h1><p>{long}</p><p>ok</p></form></body>") == f"T\n\n{long}\n\nok"
+    assert pages_html.main_text(f'<article><p>{long}</p><section class="related-work"><h2>R</h2><p>{more}</p></section></article>') == f"{long}\n\nR\n\n{more}"
+    assert pages_html.main_text(f'<body class="has-sidebar"><div class="main has-sidebar"><p>{long}</p></div><div class="sidebar"><p>{words(20)}</p></div></body>') == long
+    assert pages_html.main_text(f'<body><h1>T</h1><p>{long}</p><div id="comments"><p>{words(30)}</p></div></body>') == f"T\n\n{long}"
+    assert pages_html.main_text("<article><p>Short.</p></article><footer>&copy; Someone, somewhere, of a long name of many words</footer>") == "Short."
+
+
+def test_html_clusters_select_where_there_is_no_article(monkeypatch):
+    long, more = words(60), words(50, 2)
+    page = f"<body><div>Home</div><div>About us</div><div><a href=/>Log in</a></div><div><h1>Head</h1><p>{long}</p><p>ok</p><p>{more}</p></div><div>2020</div></body>"
+    assert pages_html.main_text(page) == f"Head\n\n{long}\n\nok\n\n{more}"
+    spread = f"<body><div><p>{long}</p></div><div><p>Between them.</p></div><div><p>{more}</p></div><div><ul><li><a href=/>x</a></li><li><a href=/>y</a></li></ul></div></body>"
+    assert pages_html.main_text(spread) == f"{long}\n\nBetween them.\n\n{more}"
+    # what stands close to running text is smoothed into it
+    close = f"<body><div><b>{words(3)}</b></div><section><p>{long}</p></section><section><p>{more}</p></section><section><p>{long}</p></section><div>z</div><div>z</div><div>z</div><div>z</div></body>"
+    smooth = pages_html.main_text(close)
+    monkeypatch.setattr(pages_html, "smoothed", lambda ratios: ratios)
+    assert smooth.startswith(words(3)) and pages_html.main_text(close) == smooth.partition("\n\n")[2]
+
+
+def test_html_marks_against_brute_force():
+    rng = random.Random(6)
+    for _ in range(50):
+        lines = [(0, "x" * rng.randint(1, 400), rng.randint(0, 6), 0, False, False) for _ in range(rng.randint(1, 30))]
+        ratio = [len(x[1]) / max(1, x[2]) for x in lines]
+        n = len(ratio)
+        smooth = []
+        for i in range(n):
+            near = [(math.exp(-((k - i) ** 2) / 2), ratio[k]) for k in range(n) if abs(k - i) <= 2]
+            smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+        assert pages_html.smoothed(ratio) == pytest.approx(smooth)
+        mean = sum(smooth) / n
+        limit = min(mean, math.sqrt(sum((r - mean) ** 2 for r in smooth) / n))
+        for mark, r in zip(pages_html.marked(lines), smooth, strict=True):
+            assert mark == (r >= limit) or abs(r - limit) < 1e-6 * limit
+
+
+def test_html_of_any_depth():
+    began = time.monotonic()
+    assert len(pages_html.main_text("<div>x" * 100_000).split("\n\n")) == 100_000
+    assert pages_html.main_text("<p>a" + "</b></i>" * 100_000) == "a"
+    assert time.monotonic() - began < 20
+
+
 def test_html_keeps_every_short_paragraph():
     rng = random.Random(2)
     for _ in range(20):
@@ -411,6 +464,44 @@ def test_context_holds_an_identifier_before(spark):
     assert got[9] == "id:19:28" and got[10] == ""
 
 
+def test_pattern_graph_against_brute_force(spark):
+    rng = random.Random(17)
+    edges = {(rng.randrange(8), rng.randrange(40)) for _ in range(110)}
+    own = {c: rng.choice([0.0, 0.0, pii.OPAQUE, 1.0]) for _, c in edges}
+    rows = [(p, c, own[c]) for p, c in edges]
+    trust = dict(own)
+    for r in range(pii.ROUNDS):
+        of = lambda p: [trust[c] for q, c in edges if q == p]
+        scores = {p: (sum(of(p)) / (len(of(p)) + 1), sum(of(p))) for p in {p for p, _ in edges}}
+        if r + 1 < pii.ROUNDS:
+            trust = {c: max([own[c], *(scores[p][0] for p, d in edges if d == c and scores[p][1] >= pii.SUPPORT)]) for c in own}
+    got = {r.pattern: (r.score, r.support) for r in pii.scored_patterns(spark.createDataFrame(rows + rows[:9], "pattern long, core long, trust double")).collect()}
+    assert got == {p: (pytest.approx(a), pytest.approx(b)) for p, (a, b) in scores.items()}
+
+
+def test_keys_and_random_strings(spark):
+    rng = random.Random(18)
+    secret = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f'{rng.choice("the of and to".split())} text with token = "{secret(40)}" in it and {i} words') for i in range(8)]
+    rows += [(20, 'another token = "abc-12-99887" stays short'), (21, f"commit {secret(40)} of the tree"), (22, "no token here, token of thanks 123456"), (23, 'a token = "onlyletters" too')]
+    rows += [(30 + i, f"uid:{secret(32)} logged in") for i in range(5)] + [(40, "uid:7788-9900 logged in"), (41, "room:7788-9900 is free")]
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows[:8] + [rows[8], rows[11]]:
+        a = t.index('"') + 1
+        assert got[i] == f"id:{a}:{t.index(chr(34), a)}"
+    assert got[21] == got[22] == got[41] == "" and got[40] == "id:4:13" and got[31] == "id:4:36"
+
+
+def test_a_text_of_many_spans(spark):
+    n = 3000
+    t = " ".join(f"u{i}@m.example.org é 12-{i}-9988" for i in range(n))
+    df = spark.createDataFrame([(1, t), (2, "nothing")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.report(df).collect()}
+    assert got[1].n_email == n and got[1].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in base_spans(t)).encode()).hexdigest()
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert clean == {1: " ".join(f"<EMAIL> é 12-{i}-9988" for i in range(n)), 2: "nothing"}
+
+
 def test_masked_texts_hold_nothing_private(docs):
     out = pii.redact(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
@@ -565,6 +656,37 @@ def test_mixing(docs):
     assert mixing.mix(empty(docs)).count() == 0
 
 
+def test_mixing_takes_in_the_order_of_the_keys(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COARSE", 8)
+    monkeypatch.setattr(mixing, "FINE", 4)
+    rng = random.Random(19)
+    rows = [(i, prose(rng, rng.randint(1, 60)) + rng.choice(["", " ### !!"]), None, rng.choice("abcd"), 1) for i in range(150)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    keys = {r.doc_id: r.key for r in df.select("doc_id", mixing.draw(F.col("doc_id"), F.col("text"), mixing.quality_weight(F.col("text"))).alias("key")).collect()}
+    got = {r.doc_id: r for r in mixing.mix(df).collect()}
+    for s in "abcd":
+        own = sorted((keys[r[0]], len(WORD.findall(r[1])), r[0]) for r in rows if r[3] == s)
+        total, target = sum(n for _, n, _ in own), got[own[0][2]].target
+        epochs, rest, ahead = int(target // total), target - (target // total) * total, 0
+        for _, n, d in own:
+            assert got[d].taken == n * (epochs + (rest > 0 and ahead + n / 2 <= rest))
+            ahead += n
+
+
+def test_whole_columns_of_clashing_names(spark):
+    """Columns named as those that the operators use inside change nothing."""
+    rows = [(r[0], r[1], r[2], r[3]) for r in documents()]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    items = spark.createDataFrame([(1, "the of and to in is that for it with we you they the of")], "item_id long, text string")
+    crowded = plain
+    for c in ("__h", "__win", "__k1", "__k2", "__t", "__w", "__all", "__spans", "__key", "__range", "__target", "__base", "__occ", "__p", "__words", "n_hit", "taken", "target", "component"):
+        crowded = crowded.withColumn(c, F.lit("other"))
+    for f in (rules.judge, langid.identify, pii.report, mixing.mix, lambda d: decontaminate.report(d, items), similar.report):
+        assert sorted(map(repr, f(crowded).collect())) == sorted(map(repr, f(plain).collect()))
+    for f in (similar.deduplicated, pii.redact, lambda d: decontaminate.clean(d, items)):
+        assert f(crowded).columns == crowded.columns and f(crowded).count() == f(plain).count()
+
+
 # 9
 
 
