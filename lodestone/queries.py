@@ -491,7 +491,7 @@ def random_walk_patterns(spark, sf):
 
 
 _SETS = f"""WITH {A}, {L}, {TRIPLES}, s2 AS (SELECT * FROM p2 WHERE {rolled("concat(v0, ',', v1)", 5)} <= sqrt(0.5)), s3 AS (SELECT p3.* FROM p3 JOIN s2 ON s2.v0 = p3.v0 AND s2.v1 = p3.v1 WHERE {rolled("concat(p3.v0, ',', p3.v1, ',', p3.v2)", 5)} <= sqrt(0.5)),
- c AS (SELECT list_sort([x.label, y.label, z.label]) AS s, count(*) AS n FROM s3 JOIN l x ON x.v = v0 JOIN l y ON y.v = v1 JOIN l z ON z.v = v2 WHERE x.label <> y.label AND y.label <> z.label AND x.label <> z.label GROUP BY 1),
+ w AS MATERIALIZED (SELECT list_sort([x.label, y.label, z.label]) AS s FROM s3 JOIN l x ON x.v = v0 JOIN l y ON y.v = v1 JOIN l z ON z.v = v2), c AS MATERIALIZED (SELECT s, count(*) AS n FROM w WHERE len(list_distinct(s)) = 3 GROUP BY s),
  q AS (SELECT quantile_disc(n, 0.5) AS mid FROM c)
  SELECT concat(s[1], ',', s[2], ',', s[3]) AS labels, n, place FROM ((SELECT s, n, 'least' AS place FROM c ORDER BY n, s LIMIT 5) UNION ALL (SELECT s, n, 'most' FROM c ORDER BY n DESC, s LIMIT 5) UNION ALL (SELECT s, n, 'middle' FROM c ORDER BY abs(n - (SELECT mid FROM q)), s LIMIT 5))"""
 
