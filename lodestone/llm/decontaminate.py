@@ -3,7 +3,7 @@
 Normalised words are runs of 0-9, a-z and non-ASCII characters after lower-casing A-Z.  An item gives every window of 13
 words, or itself whole if shorter.  A document's windows of the lengths that occur are hashed in place and joined with the
 hashes of item windows; a hit counts only if its words equal the window's.  Item windows are broadcast up to a checked
-number; beyond it the same join shuffles.
+number; beyond it places and hashes alone are shuffled, and the words of texts with a candidate brought back.
 Null texts have no words and no hits.  A null item id is left out of the list of items but its windows hit.  Repeated
 rows get equal results: hits are found per id and text and joined back by both; a window that several items hold counts
 for each.  An empty benchmark leaves all texts as they are, an empty table gives no rows.  Texts are read whole; only the
@@ -60,8 +60,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     lengths = sorted(r[0] for r in grams.select("__len").distinct().collect())  # at most `window` values
     if not lengths:
         lengths = [window]
-    if grams.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
-        grams = F.broadcast(grams)
+    small = grams.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     text = F.col(text_col)
     words = docs.select(F.col(id_col).alias("__id"), *key(text), tokens(text).alias("__w"))
     words = words.withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w)))
@@ -69,12 +68,26 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str,
     hashes = [_hashes_of(n, k) for k in lengths]
     # outer, since an inner explode makes the optimizer filter on its array, and so compute it, a second time below
     rows = words.select("__id", "__k1", "__k2", "__w", F.concat(*hashes).alias("__all")).select("__id", "__k1", "__k2", "__w", F.posexplode_outer("__all").alias("__pos", "__hash"))
-    ahead, offset = F.lit(0), F.lit(0)
-    for k in lengths:  # where the windows of each length begin among all
-        offset = F.when(F.col("__len") == k, ahead).otherwise(offset)
-        ahead = ahead + F.greatest(F.size("__w") - k + 1, F.lit(0))
-    hits = rows.join(grams, "__hash").withColumn("__at", F.col("__pos") - offset)
-    hits = hits.filter(F.array_join(F.slice("__w", F.col("__at") + 1, F.col("__len")), " ") == F.col("__gram"))
+
+    def begins(size: Column) -> Column:
+        """Where the windows of the length __len begin among all of a text of so many words."""
+        ahead, out = F.lit(0), F.lit(0)
+        for k in lengths:
+            out = F.when(F.col("__len") == k, ahead).otherwise(out)
+            ahead = ahead + F.greatest(size - k + 1, F.lit(0))
+        return out
+
+    whole = F.array_join(F.slice("__w", F.col("__at") + 1, F.col("__len")), " ") == F.col("__gram")
+    if small:
+        hits = rows.join(F.broadcast(grams), "__hash").withColumn("__at", F.col("__pos") - begins(F.size("__w"))).filter(whole)
+    else:  # windows are shuffled without their words; those of texts with a candidate are brought back to verify it
+        lean = rows.select("__id", "__k1", "__k2", F.size("__w").alias("__n"), "__pos", "__hash")
+        met = saved(lean.join(grams.select("__hash", "__len").distinct(), "__hash").select("__id", "__k1", "__k2", "__hash", "__len", (F.col("__pos") - begins(F.col("__n"))).alias("__at")), "met")
+        keys = met.select("__id", "__k1", "__k2").distinct().withColumnsRenamed({"__id": "__rid", "__k1": "__r1", "__k2": "__r2"})
+        match = (F.col("__k1") == F.col("__r1")) & (F.col("__k2") == F.col("__r2")) & F.col("__id").eqNullSafe(F.col("__rid"))
+        texts = words.select("__id", "__k1", "__k2", "__w").join(keys, match, "left_semi").groupBy("__id", "__k1", "__k2").agg(F.first("__w").alias("__w"))
+        texts = texts.withColumnsRenamed({"__id": "__rid", "__k1": "__r1", "__k2": "__r2"})
+        hits = met.join(grams, ["__hash", "__len"]).join(texts, match).filter(whole)
     found = hits.groupBy("__id", "__k1", "__k2").agg(F.collect_set(F.struct(F.col("__at").alias("at"), F.col("__len").alias("len"))).alias("__spans"), F.collect_set("__items").alias("__sets"))
     return found.select("__id", "__k1", "__k2", F.sort_array("__spans").alias("__spans"), F.array_sort(F.array_distinct(F.flatten("__sets"))).alias("__items"))
 

@@ -714,7 +714,7 @@ def contamination(rows, items):
     return out
 
 
-def test_contamination(spark, docs):
+def test_contamination(spark, docs, monkeypatch):
     rng = random.Random(12)
     items = [(i, prose(rng, rng.choice([2, 12, 13, 14, 40]), [f"q{k}" for k in range(60)])) for i in range(25)] + [(99, None), (98, "!!"), (None, prose(rng, 20, ["null", "item", "é"])), (3, items_text := "Repeated ITEM of É words " * 4)]
     rows = [(r[0], r[1]) for r in documents()]
@@ -725,6 +725,9 @@ def test_contamination(spark, docs):
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = contamination(rows, items)
     same(decontaminate.report(df, bench), want)
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 10)
+    same(decontaminate.report(df, bench), want)
+    monkeypatch.undo()
     assert not decontaminate.report(df, bench.limit(0)).filter("contaminated or n_hit > 0").count()
     assert decontaminate.report(df.limit(0), bench).count() == 0
     left = decontaminate.clean(df, bench)
