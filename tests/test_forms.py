@@ -202,6 +202,11 @@ def test_graphlet_kernel_tells_rings_from_cliques(spark):
     g = G.from_edges(spark.createDataFrame(edges, "u long, v long"))
     area = apps.graphlet_kernel_auc(g, 3, spark.createDataFrame(index, "vertex long, graph_id int"), spark.createDataFrame(classes, "graph_id int, label int"))
     assert area == 1.0
+    rng = random.Random(3)
+    rows = [(float(rng.randint(0, 9)), float(rng.randint(0, 1))) for _ in range(60)]
+    ones, zeros = ([s for s, y in rows if y == k] for k in (1, 0))
+    want = sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / (len(ones) * len(zeros))
+    assert apps.area_under_roc(spark.createDataFrame(rows, "score double, label double")) == pytest.approx(want)
 
 
 def test_accessors(noisy, spark):
