@@ -413,7 +413,7 @@ def pattern_query_generator(graph: Graph, k: int, fraction: float, seed: int, to
 
     Least dense leaves out cliques (k = 4), or cliques and trees (k >= 5).
     """
-    found = Frontier.vertices(graph).extend(k, (level_rate(fraction, k), seed)).by_pattern(True)
+    found = kept(Frontier.vertices(graph).extend(k, (level_rate(fraction, k), seed)).by_pattern(True))  # read four times below
     edges = F.size(F.split(F.split("pattern", ";")[2], ","))
     rows = found.withColumn("m", edges)
     full = k * (k - 1) // 2
@@ -432,7 +432,7 @@ def label_query_generator(graph: Graph, k: int, fraction: float, seed: int, topk
     """labels, n, place: label sets of sampled subgraphs with all labels different: the least, the middle and the most frequent."""
     f = Frontier.vertices(graph).extend(k, (level_rate(fraction, k), seed))
     sets = f.df.select(F.array_sort(f.labels()).alias("labels")).filter(F.size(F.array_distinct("labels")) == k)
-    counted = sets.groupBy("labels").agg(F.count("*").alias("n"))
+    counted = kept(sets.groupBy("labels").agg(F.count("*").alias("n")))  # read four times below
     low = counted.orderBy("n", "labels").limit(topk).withColumn("place", F.lit("least"))
     high = counted.orderBy(F.desc("n"), "labels").limit(topk).withColumn("place", F.lit("most"))
     mid = counted.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY n)").alias("mid")).first().mid

@@ -5,16 +5,18 @@ earlier ones as bits), e0..e{k-1} for edges (a*, b* ends, la*, lb* their labels,
 subgraph appears once: in the order of its words in which each next one is above the first word and above all words after
 its first neighbour.
 
-Two physical forms give the same rows.  Where the graph is small and no vertex has many neighbours (Graph.lists), rows
-carry neighbour lists (n*), a level is an expression that lists the valid extensions, and one explode.  Otherwise rows
-carry words alone, extensions come from joins with the arcs, and what an extension touches is gathered by one aggregation:
-no row ever holds the list of a hub.  Explodes are outer and their nulls dropped by the join, since inner ones make the
-optimizer compute the list twice.
+Three physical forms give the same rows.  Where no vertex has many neighbours (Graph.lists), rows carry neighbour lists
+(n*), and a level is an expression that lists the valid extensions, and one explode.  If the graph is small, lists are joined
+from a broadcast; if it is not (Graph.wide), lists carry the labels of neighbours along (m*), and the list of the last word
+is joined by shuffle only when another level reads it: the last level moves nothing.  Where there are hubs, rows carry words
+alone, extensions come from joins with the arcs, and what an extension touches is gathered by one aggregation: no row ever
+holds the list of a hub.  Explodes are outer and their nulls dropped later, since inner ones make the optimizer compute the
+list twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import permutations
@@ -175,6 +177,26 @@ class Frontier:
 
     # vertices
 
+    def _side(self, k: int) -> DataFrame:
+        """What the graph says of word k: v*, l*, n* and m* as its form has them."""
+        graph = self.graph
+        with_far = graph.wide and (self.kind != "pattern" or self.needs_label)
+        side = graph.vertex_label if not graph.lists else graph.beside if with_far else graph.adjacency
+        names = {"v": f"v{k}", "label": f"l{k}", "nb": f"n{k}", "nl": f"m{k}"}
+        return side.select(*[F.col(c).alias(names[c]) for c in side.columns])
+
+    def with_lists(self) -> Frontier:
+        """The rows with the lists of all words (graph with lists); in a wide graph they are fetched here."""
+        df = self.df
+        for i in range(self.k if self.graph.wide else 0):
+            if f"n{i}" not in df.columns:
+                df = df.join(self._side(i).drop(f"l{i}"), f"v{i}")
+        return replace(self, df=df)
+
+    def _label_beside(self, x: Column, places: Iterable[int]) -> Column:
+        """The label of a vertex x that is in the list of a word at one of these places (wide graph)."""
+        return F.coalesce(*[F.get(f"m{i}", F.array_position(f"n{i}", x).cast("int") - 1) for i in places])
+
     def candidates(self) -> Column:
         """Valid next vertices, each once (vertex kind, graph with lists)."""
         parts = []
@@ -194,11 +216,12 @@ class Frontier:
 
     def touching(self) -> DataFrame:
         """Rows with x, a vertex beside theirs, and bits, bit i for each vertex i next to it; each pair of a row and an x once."""
-        names = self.df.columns
         if self.graph.lists:
+            self = self.with_lists()
             near = F.array_except(F.array_distinct(F.flatten(F.array(*[F.col(f"n{i}") for i in range(self.k)]))), self.words())
             met = self.df.withColumn("x", F.explode_outer(near)).filter("x is not null")
             return met.withColumn("bits", reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.array_contains(f"n{i}", F.col("x")), F.lit(1 << i)).otherwise(0).cast("long") for i in range(self.k)]))
+        names = self.df.columns
         at = self.df.withColumn("__i", F.explode(F.sequence(F.lit(0), F.lit(self.k - 1)))).withColumn("__at", F.get(self.words(), F.col("__i")))
         pairs = self.graph.pairs.select(F.col("v").alias("__at"), F.col("nb").alias("x"))
         met = at.join(self.graph.sized(pairs), "__at").filter(~F.array_contains(self.words(), F.col("x")))
@@ -214,14 +237,12 @@ class Frontier:
         """The frontier of rows with x and bits."""
         k = self.k
         grown = rows.withColumnsRenamed({"x": f"v{k}", "bits": f"b{k}"})
-        side = self.graph.adjacency if self.graph.lists else self.graph.vertex_label
-        names = {"v": f"v{k}", "label": f"l{k}", "nb": f"n{k}"}
-        return self._extended(grown.join(self.graph.sized(side.select(*[F.col(c).alias(names[c]) for c in side.columns])), f"v{k}"))
+        if self.graph.wide:
+            return self._extended(grown.withColumn(f"l{k}", self._label_beside(F.col(f"v{k}"), range(k))))
+        return self._extended(grown.join(self.graph.sized(self._side(k)), f"v{k}"))
 
     def _root(self) -> DataFrame:
-        side = self.graph.adjacency if self.graph.lists else self.graph.vertex_label
-        names = {"v": "v0", "label": "l0", "nb": "n0"}
-        return side.select(*[F.col(c).alias(names[c]) for c in side.columns])
+        return self._side(0)
 
     def _extend_vertex(self, using) -> Frontier:
         k = self.k
@@ -233,8 +254,14 @@ class Frontier:
             if using:
                 raise ValueError("an enumerator of one's own needs a graph with lists (Graph.lists)")
             return self._with_vertex(self.touching().filter(self._valid()))
-        adj = self.graph.adjacency.select(F.col("v").alias(f"v{k}"), F.col("label").alias(f"l{k}"), F.col("nb").alias(f"n{k}"))
-        grown = self.df.withColumn(f"v{k}", F.explode_outer(using(self) if using else self.candidates())).join(self.graph.sized(adj), f"v{k}")
+        self, x = self.with_lists(), F.col(f"v{k}")
+        grown = self.df.withColumn(f"v{k}", F.explode_outer(using(self) if using else self.candidates()))
+        if not self.graph.wide:
+            grown = grown.join(self.graph.sized(self._side(k)), f"v{k}")
+        elif using:  # which may list anything
+            grown = grown.join(self.graph.vertex_label.select(F.col("v").alias(f"v{k}"), F.col("label").alias(f"l{k}")), f"v{k}")
+        else:
+            grown = grown.filter(x.isNotNull()).withColumn(f"l{k}", self._label_beside(x, range(k)))
         bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.array_contains(f"n{i}", F.col(f"v{k}")), F.lit(1 << i)).otherwise(0).cast("long") for i in range(k)])
         return self._extended(grown.withColumn(f"b{k}", bits))
 
@@ -253,6 +280,7 @@ class Frontier:
         """How many subgraphs one more vertex makes, without making them (vertex kind): one column, n."""
         if not self.graph.lists:
             return self.touching().filter(self._valid()).agg(F.count(F.lit(1)).alias("n"))
+        self = self.with_lists()
         return self.df.select(F.size(self.candidates()).cast("long").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
 
     # edges
@@ -315,7 +343,13 @@ class Frontier:
         used = any(k in s.joined or self.plan.pattern.induced and k in s.apart for s in later)
         if step.label is None and not used and (later or not self.needs_label):
             return grown.filter(F.col(f"v{k}").isNotNull())
-        side = self.graph.adjacency.select(F.col("v").alias(f"v{k}"), F.col("label").alias(f"l{k}"), F.col("nb").alias(f"n{k}"))
+        if self.graph.wide:
+            grown = grown.filter(F.col(f"v{k}").isNotNull())
+            if self.needs_label:
+                grown = grown.withColumn(f"l{k}", self._label_beside(F.col(f"v{k}"), [first]))
+                grown = grown if step.label is None else grown.filter(F.col(f"l{k}") == step.label)
+            return grown.join(self._side(k).drop(f"l{k}"), f"v{k}") if used else grown
+        side = self._side(k)
         return grown.join(self.graph.sized(side if step.label is None else side.filter(F.col(f"l{k}") == step.label)), f"v{k}")
 
     def _matched_joins(self, step) -> DataFrame:
@@ -406,8 +440,8 @@ class Frontier:
                 conds += [v > F.col(f"v{order[j]}") for j in s.above] + [v < F.col(f"v{order[j]}") for j in s.below]
                 if s.label is not None:
                     conds.append(F.col(f"l{order[pos]}") == s.label)
-            parts = "vln" if self.graph.lists else "vl"
-            out.append(self.df.filter(_all(conds)).select(*[F.col(f"{c}{order[pos]}").alias(f"{c}{pos}") for pos in range(k) for c in parts]))
+            parts = "vlnm" if self.graph.wide else "vln" if self.graph.lists else "vl"
+            out.append(self.with_lists().df.filter(_all(conds)).select(*[F.col(f"{c}{order[pos]}").alias(f"{c}{pos}") for pos in range(k) for c in parts]))
         df = reduce(DataFrame.unionAll, out)
         if not self.graph.lists or plan.pattern.edge_labeled:
             for i in range(k):
@@ -468,7 +502,9 @@ class Frontier:
         partial, final = MERGES[how] if isinstance(how, str) else how
         mask, labels = self.quick(edge_labels)
         quick = [mask, labels if labelled else F.array().cast("array<int>").alias("labels")]
-        rows = self.df.select(*quick, (value if value is not None else F.lit(1).cast("long")).alias("__x")).groupBy("mask", "labels").agg(partial(F.col("__x")).alias("__x"))
+        rows = self.df.select(*quick, (value if value is not None else F.lit(1).cast("long")).alias("__x"))
+        rows = rows.distinct() if how == "collect_set" else rows  # so that no set takes each row
+        rows = rows.groupBy("mask", "labels").agg(partial(F.col("__x")).alias("__x"))
         named = rows.select(canonical_key(F.col("mask").cast("string"), F.col("labels"), self.k, self.kind).alias("pattern"), "__x")
         return named.groupBy("pattern").agg(final(F.col("__x")).alias(name))
 
@@ -533,11 +569,10 @@ def _in_vertex_order(graph: Graph, sets: DataFrame, k: int) -> Frontier:
         df = df.withColumn(f"c{i}", F.col(f"c{i - 1}").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(f"q{i}"))))
     bits = lambda i: reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(_bit("rows", F.col(f"q{i}"), F.col(f"q{j}")), j) for j in range(i)])
     df = df.select(F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("__time"), *[F.get("all", F.col(f"q{i}")).alias(f"v{i}") for i in range(k)], *[bits(i).alias(f"b{i}") for i in range(1, k)]).drop("__time")
-    side = graph.adjacency if graph.lists else graph.vertex_label
+    f = Frontier(graph, df, "vertex", k)
     for i in range(k):
-        names = {"v": f"v{i}", "label": f"l{i}", "nb": f"n{i}"}
-        df = df.join(graph.sized(side.select(*[F.col(c).alias(names[c]) for c in side.columns])), f"v{i}")
-    return Frontier(graph, df, "vertex", k)
+        df = df.join(graph.sized(f._side(i) if not graph.wide else f._side(i).select(f"v{i}", f"l{i}")), f"v{i}")
+    return replace(f, df=df)
 
 
 def _in_edge_order(graph: Graph, rows: DataFrame, m: int) -> Frontier:

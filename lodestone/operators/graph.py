@@ -26,6 +26,7 @@ class Graph:
     labeling says which labels count: v, e, ve or n; a label that does not count is 1 for vertices and 0 for edges.
     broadcast_edges bounds the adjacency that is sent to every executor; a larger one is joined by shuffle.
     list_degree bounds the neighbour lists that rows of a frontier may carry; a graph with a larger degree is mined by joins.
+    simple says that no two edges join the same vertices, as from_edges() makes them.
     Derived tables are kept when first used: every level of a mining query joins one of them again.
     """
 
@@ -34,6 +35,7 @@ class Graph:
     labeling: str = "ve"
     broadcast_edges: int = 1_000_000
     list_degree: int = LIST_DEGREE
+    simple: bool = False
 
     @property
     def spark(self) -> SparkSession:
@@ -68,8 +70,13 @@ class Graph:
 
     @cached_property
     def lists(self) -> bool:
-        """Whether rows of a frontier carry neighbour lists: the graph is broadcast, and no list is long."""
-        return self.fits and self.max_degree <= self.list_degree
+        """Whether rows of a frontier carry neighbour lists: no list is long."""
+        return self.max_degree <= self.list_degree
+
+    @cached_property
+    def wide(self) -> bool:
+        """Whether lists are joined by shuffle: rows then fetch a list only when it is first read, and labels come with lists."""
+        return self.lists and not self.fits
 
     def sized(self, df: DataFrame) -> DataFrame:
         """df, with a broadcast hint where the graph is small enough; df must be no larger than its adjacency."""
@@ -85,13 +92,24 @@ class Graph:
     @cached_property
     def adjacency(self) -> DataFrame:
         """v, label, nb: neighbours in rising order; isolated vertices have none."""
-        near = self.arcs.groupBy("v").agg(F.array_sort(F.collect_set("nb")).alias("nb"))
+        # dealt by v first: partial lists would be as many as arcs, and larger
+        near = self.pairs.repartition("v").groupBy("v").agg(F.array_sort(F.collect_list("nb")).alias("nb"))
         return kept(self.vertex_label.join(near, "v", "left").withColumn("nb", F.coalesce("nb", F.array().cast("array<bigint>"))))
 
+    @cached_property
+    def beside(self) -> DataFrame:
+        """v, label, nb, nl: the same with the labels of the neighbours."""
+        far = self.vertex_label.select(F.col("v").alias("nb"), F.col("label").alias("nl"))
+        arcs = self.pairs.join(self.sized(far), "nb") if "v" in self.labeling else self.pairs.withColumn("nl", F.lit(1))
+        near = arcs.repartition("v").groupBy("v").agg(F.array_sort(F.collect_list(F.struct("nb", "nl"))).alias("__n")).select("v", F.col("__n.nb").alias("nb"), F.col("__n.nl").alias("nl"))
+        none = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)
+        return kept(self.vertex_label.join(near, "v", "left").select("v", "label", none("nb", "array<bigint>"), none("nl", "array<int>")))
+
     @cached_property
     def pairs(self) -> DataFrame:
         """v, nb: every vertex with each of its neighbours, once."""
-        return kept(self.arcs.select("v", "nb").distinct())
+        both = self.arcs.select("v", "nb")
+        return both if self.simple else kept(both.distinct())
 
     @cached_property
     def incident(self) -> DataFrame:
@@ -104,7 +122,7 @@ class Graph:
 
     @cached_property
     def degrees(self) -> DataFrame:
-        return kept(self.vertex_label.join(self.arcs.groupBy("v").agg(F.count_distinct("nb").alias("d")), "v", "left").select("v", "label", F.coalesce("d", F.lit(0)).cast("long").alias("degree")))
+        return kept(self.vertex_label.join(self.pairs.groupBy("v").agg(F.count("*").alias("d")), "v", "left").select("v", "label", F.coalesce("d", F.lit(0)).cast("long").alias("degree")))
 
     @cached_property
     def upward(self) -> DataFrame:
@@ -202,18 +220,24 @@ def from_edges(edges: DataFrame, vertices: DataFrame | None = None, labeling: st
     Self loops go; edges given twice count once, their labels united.  packed, for vertex ids below 2^31, makes ids of the
     two ends instead: the same order, without a sort of all edges.
     """
-    marks = F.coalesce(F.col("labels"), F.array().cast("array<int>")) if "labels" in edges.columns else F.array().cast("array<int>")
-    pairs = edges.filter("u <> v").select(F.least("u", "v").cast("long").alias("src"), F.greatest("u", "v").cast("long").alias("dst"), marks.alias("labels"))
-    single = pairs.groupBy("src", "dst").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"))
-    if packed:
-        numbered = kept(single.select((F.shiftleft("src", 32) + F.col("dst")).alias("id"), "src", "dst", "labels"))
+    none = F.array().cast("array<int>")
+    ends = F.least("u", "v").cast("long").alias("src"), F.greatest("u", "v").cast("long").alias("dst")
+    if "labels" in edges.columns:
+        pairs = edges.filter("u <> v").select(*ends, F.coalesce("labels", none).alias("labels"))
+        single = pairs.groupBy("src", "dst").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"))
+    else:
+        single = edges.filter("u <> v").select(*ends).distinct()
+    if packed:  # ids and empty labels are made when read
+        made = kept(single)
+        numbered = made.select((F.shiftleft("src", 32) + F.col("dst")).alias("id"), "src", "dst", "labels" if "labels" in made.columns else none.alias("labels"))
     else:
+        single = single if "labels" in single.columns else single.withColumn("labels", none)
         numbered = kept(ranked(single, "src", "dst").select(F.col("__rank").alias("id"), "src", "dst", "labels"))
     if vertices is None:
         ids = numbered.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-        return Graph(ids.withColumn("labels", F.array(F.lit(1))), numbered, labeling, **options)
+        return Graph(ids.withColumn("labels", F.array(F.lit(1))), numbered, labeling, simple=True, **options)
     labels = F.col("labels") if "labels" in vertices.columns else F.array(F.col("label").cast("int")) if "label" in vertices.columns else F.array(F.lit(1))
-    return Graph(vertices.select(F.col("id").cast("long").alias("id"), labels.alias("labels")), numbered, labeling, **options)
+    return Graph(vertices.select(F.col("id").cast("long").alias("id"), labels.alias("labels")), numbered, labeling, simple=True, **options)
 
 
 def reordered(graph: Graph, permutation: DataFrame) -> Graph:

@@ -45,8 +45,8 @@ def _once(make: Callable[[SparkSession, str], Graph]) -> Callable[[SparkSession,
 
 
 def _parts(spark: SparkSession, sf_dir: str, *keys: str) -> Graph:
-    items = table(spark, sf_dir, "lineitem").select(*keys, "l_partkey").distinct()
-    pairs = items.withColumnRenamed("l_partkey", "u").join(items.withColumnRenamed("l_partkey", "v"), list(keys)).filter("u < v").select("u", "v").distinct()
+    items = table(spark, sf_dir, "lineitem").select(*keys, "l_partkey").repartition(*keys).distinct()  # one shuffle serves the join too
+    pairs = items.withColumnRenamed("l_partkey", "u").join(items.withColumnRenamed("l_partkey", "v"), list(keys)).filter("u < v").select("u", "v")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.substring("p_brand", 7, 1).cast("int").alias("label"))
     return from_edges(pairs, parts, "v", packed=True)
 
@@ -445,7 +445,8 @@ def wedges_by_center_label(spark, sf):
     g = bought(spark, sf)
     f = apps.query(g, Pattern.of(3, [(0, 1), (0, 2)]))
     center = f"v{f.plan.order.index(0)}"
-    return f.df.select(F.col(center).alias("v")).join(g.sized(g.vertex_label), "v").groupBy("label").agg(F.count("*").alias("n"))
+    each = f.df.groupBy(F.col(center).alias("v")).agg(F.count("*").alias("own"))  # before the join, which has a row for each vertex then
+    return each.join(g.sized(g.vertex_label), "v").groupBy("label").agg(F.sum("own").alias("n"))
 
 
 @register(f"WITH {E}, {T} SELECT count(*) AS n FROM t")

@@ -60,6 +60,36 @@ def test_joins_give_what_lists_give(joined, noisy):
         Frontier.vertices(joined).extend(1).extend(1, using=lambda f: F.col("n0"))
 
 
+def test_wide_graphs_give_what_broadcast_lists_give(noisy):
+    """Lists joined by shuffle: a graph beyond the broadcast without hubs.  Only lists that are read are fetched."""
+    g, edges, labels, _ = noisy
+    wide = replace(g, broadcast_edges=1)
+    assert wide.wide and not g.wide
+    rows = lambda df: Counter(map(tuple, df.collect()))
+    every = lambda f: rows(f.df.select(*[f"{c}{i}" for i in range(f.k) for c in ("v", "l", "b") if (c, i) != ("b", 0)]))
+    for k in (3, 4):
+        assert every(apps.induced_subgraphs(wide, k)) == every(apps.induced_subgraphs(g, k))
+        assert as_dict(apps.motifs(wide, k, labelled=False)) == as_dict(apps.motifs(wide, k, "mcvc", labelled=False)) == Counter(p.key() for _, p in induced(edges, N, k))
+    assert as_dict(apps.motifs(wide, 3)) == as_dict(apps.motifs(wide, 3, "pa")) == as_dict(apps.motifs(g, 3))
+    for p in vertex_patterns(4):
+        for q in (p, Pattern.of(4, p.edges, None, induced=True), Pattern.of(4, p.edges, (1, 2, 3, 1))):
+            assert apps.query(wide, q).count() == apps.query(g, q).count()
+    assert every(Frontier.vertices(wide).extend(2).extend_all()) == every(Frontier.vertices(g).extend(2).extend_all())
+    assert every(apps.minimal_keyword_search(wide, 3, [1, 2])) == every(apps.minimal_keyword_search(g, 3, [1, 2]))
+    rising = lambda x: every(Frontier.vertices(x).extend(1).extend(2, using=lambda f: F.filter(f"n{f.k - 1}", lambda y: y > F.col(f"v{f.k - 1}"))))
+    assert rising(wide) == rising(g)
+    walks = lambda x: every(apps.random_walks(x, 3, 6, 2))
+    assert walks(wide) == walks(g)
+    square = Pattern.of(4, [(0, 1), (0, 2), (1, 3), (2, 3)])
+    assert Frontier.vertices(wide).extend(2).to_pattern(Frontier.pattern(wide, square).plan).matches().count() == apps.query(g, square).count()
+    tri = lambda x: every(apps.query(x, Pattern.of(3, [(0, 1), (0, 2), (1, 2)])).to_vertices().extend(1))
+    assert tri(wide) == tri(g)
+    assert every(apps.edge_subgraphs(wide, 2).to_vertices(3)) == every(apps.edge_subgraphs(g, 2).to_vertices(3))
+    assert rows(apps.maximal_cliques(wide, 3)) == rows(apps.maximal_cliques(g, 3)) and rows(apps.quasi_cliques(wide, 4, 0.6)) == rows(apps.quasi_cliques(g, 4, 0.6))
+    plan = Frontier.vertices(wide).extend(3).df.select("v0", "v1", "v2", "b2")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+
+
 def test_a_hub_is_never_carried(spark):
     leaves = 100_000
     rows = spark.range(1, leaves + 1).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v")).union(spark.createDataFrame([(1, 2), (2, 3), (leaves + 1, leaves + 2)], "u long, v long"))
