@@ -6,14 +6,15 @@ import math
 import time
 from collections.abc import Callable, Iterable
 from dataclasses import replace
-from functools import reduce
+from functools import cache, reduce
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pattern import Pattern, add_vertex, edge_patterns, parse, vertex_patterns
-from .frontier import Frontier, Keep, canonical_key, match, roll
+from .frontier import MOST_COUNTED, Frontier, Keep, canonical_key, match, roll
 from .graph import Graph, ranked
 from .store import dropped, kept
 
@@ -64,20 +65,71 @@ def subgraphs_by_pattern(graph: Graph, k: int, strategy: str = "pa") -> Iterable
 
 def counts(graph: Graph, parts: Iterable[tuple[Pattern, Frontier]]) -> DataFrame:
     """pattern, n for each part, in one job."""
-    rows = [f.df.agg(F.count("*").alias("n")).select(F.lit(p.key()).alias("pattern"), "n") for p, f in parts]
+    rows = [_number(f).select(F.lit(p.key()).alias("pattern"), "n") for p, f in parts]
     return reduce(DataFrame.unionAll, rows)
 
 
+def _number(f: Frontier) -> DataFrame:
+    """How many matches a pattern frontier has: one column, n.  In a graph beyond the broadcast the last position is counted, not listed."""
+    p, graph = f.plan.pattern, f.graph
+    if f.whole and f.k == p.n > 1 and not graph.fits and p.labels is None and not p.edge_labeled:
+        if p.m == p.n * (p.n - 1) // 2:
+            return cliques(graph, p.n).agg(F.count("*").alias("n"))
+        if graph.wide:
+            last = Frontier(graph, None, "pattern", 0, plan=f.plan).extend(p.n - 1).df.select(F.size(f"c{p.n - 1}").cast("long").alias("n"))
+            return last.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("n"))
+    return f.df.agg(F.count("*").alias("n"))
+
+
+@cache
+def spanning(k: int) -> dict[tuple[str, str], int]:
+    """For connected patterns p and q of k vertices: by how much matches of p, signed, count induced ones of q.
+
+    A set of vertices whose pattern is q holds as many matches of p as q has spanning copies of it.  These numbers make a
+    triangular matrix with ones, in order of edges; what is returned is its inverse.
+    """
+    ps = sorted(vertex_patterns(k), key=lambda p: p.m)
+    keys, copies = [p.key() for p in ps], {}
+    for q in ps:
+        for m in range(k - 1, q.m + 1):
+            for some in combinations(q.edges, m):
+                r = Pattern.of(k, [(i, j) for i, j, _ in some])
+                if r.connected():
+                    copies[r.key(), q.key()] = copies.get((r.key(), q.key()), 0) + 1
+    out: dict[tuple[str, str], int] = {}
+    for i in reversed(range(len(keys))):  # induced(i) = matches(i) - sum of copies(i, j) induced(j) with more edges
+        out[keys[i], keys[i]] = 1
+        for j in range(i + 1, len(keys)):
+            if times := copies.get((keys[i], keys[j])):
+                for x in keys[j:]:
+                    if y := out.get((x, keys[j])):
+                        out[x, keys[i]] = out.get((x, keys[i]), 0) - times * y
+    return out
+
+
+def whole_counts(graph: Graph, k: int, kind: str, strategy: str = "pa") -> DataFrame:
+    """pattern, n: all subgraphs of k words, of which there are some, by matches of each pattern."""
+    if kind == "edge":
+        return counts(graph, edge_subgraphs_by_pattern(graph, k, strategy)).filter("n > 0")
+    matched = counts(graph, subgraphs_by_pattern(graph, k, strategy))
+    signs = graph.spark.createDataFrame([(x, y, c) for (x, y), c in spanning(k).items()], "pattern string, induced string, c long")
+    both = matched.join(F.broadcast(signs), "pattern").groupBy(F.col("induced").alias("pattern")).agg(F.sum(F.col("c") * F.col("n")).alias("n"))
+    return both.filter("n > 0")
+
+
 def motifs(graph: Graph, k: int, strategy: str = "po", labelled: bool | None = None, sample: Sample = None) -> DataFrame:
     """pattern, n: induced subgraphs of k vertices by canonical pattern.
 
     po grows subgraphs and names them afterwards; pa and mcvc match each pattern (labelled ones are told apart by key).
+    Beyond the broadcast unlabelled ones of up to MOST_COUNTED vertices are counted from matches that need not be induced.
     A sample scales nothing: divide by its fraction to estimate.
     """
     labelled = "v" in graph.labeling if labelled is None else labelled
     if strategy == "po":
         return induced_subgraphs(graph, k, sample).by_pattern(labelled)
     if not labelled:
+        if sample is None and not graph.fits and 2 < k <= MOST_COUNTED:
+            return whole_counts(graph, k, "vertex", strategy)
         return counts(graph, induced_by_pattern(graph, k, strategy, sample)).filter("n > 0")
     out = [as_vertices(p, f).select(*[F.col(f"{c}{i}") for i in range(k) for c in ("v", "l")], *[F.col(f"b{i}") for i in range(1, k)]) for p, f in induced_by_pattern(graph, k, strategy, sample)]
     return Frontier(graph, reduce(DataFrame.unionAll, out), "vertex", k).by_pattern(True)
@@ -168,6 +220,8 @@ def least_degree(density: float, k: int) -> int:
 def quasi_cliques(graph: Graph, k: int, density: float, strategy: str = "po") -> DataFrame:
     """v0..v{k-1}, rising: connected induced subgraphs of k vertices, each of degree at least ceil(density (k - 1)) inside."""
     target = least_degree(density, k)
+    if strategy == "po" and not graph.fits and k <= MOST_COUNTED:
+        strategy = "pa"  # few patterns are dense, and to match them moves less than every subgraph of k - 1 vertices
     if strategy == "po":
         can = lambda f: reduce(lambda a, b: a & b, [f.degree(i) + (k - f.k) >= target for i in range(f.k)])
         return _rising(Frontier.vertices(graph).extend(1).filter(can).explore(k - 1).df, k)

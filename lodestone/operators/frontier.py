@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
-from itertools import permutations
+from itertools import combinations, permutations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
@@ -32,6 +32,8 @@ from .graph import Graph
 Keep = Callable[["Frontier"], Column]
 #: Subgraphs of so many vertices have their adjacency in one long; those of more in a text.
 ONE_MASK, MOST_VERTICES = 11, 63
+#: All subgraphs of so many vertices are counted by matching their few patterns where the graph is not broadcast.
+MOST_COUNTED = 5
 #: How partial results by raw pattern are made, and how they are merged by canonical pattern.
 MERGES: dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column]]] = {
     "count": (F.count, F.sum),
@@ -72,6 +74,12 @@ class Frontier:
     k: int
     plan: Plan | None = None
     steps: tuple[tuple[str, object], ...] = ()
+    #: df, if its rows are all subgraphs of k words: nothing was filtered, sampled or replaced.
+    unfiltered: DataFrame | None = None
+
+    @property
+    def whole(self) -> bool:
+        return self.unfiltered is self.df
 
     # roots
 
@@ -152,7 +160,8 @@ class Frontier:
         out = self
         for _ in range(n):
             step = getattr(out, f"_extend_{out.kind}")(using)
-            out = replace(out._sampled(step, sample), steps=(*out.steps, ("extend", (sample, using))))
+            step = replace(out._sampled(step, sample), steps=(*out.steps, ("extend", (sample, using))))
+            out = replace(step, unfiltered=step.df if out.whole and sample is None and using is None else None)
         return out
 
     def filter(self, keep: Keep | Column) -> Frontier:
@@ -322,10 +331,63 @@ class Frontier:
         k, step = self.k, self.plan.steps[self.k]
         by_lists = self.graph.lists and not self.plan.pattern.edge_labeled
         if k == 0:
-            root = self._root() if by_lists else self.graph.degrees.select(F.col("v").alias("v0"), F.col("label").alias("l0"), F.col("degree").alias("g0"))
+            root = self._rooted_wide() if by_lists and self.graph.wide else self._root() if by_lists else self.graph.degrees.select(F.col("v").alias("v0"), F.col("label").alias("l0"), F.col("degree").alias("g0"))
             return self._extended(root if step.label is None else root.filter(F.col("l0") == step.label))
+        if by_lists and f"c{k}" in self.df.columns:
+            return self._extended(self._matched_wide())
         return self._extended(self._matched_lists(step) if by_lists else self._matched_joins(step))
 
+    # in a wide graph, rows carry c*, the candidates of each later position that is joined to a matched one, in place of lists
+
+    def _rooted_wide(self) -> DataFrame:
+        root, label = self._root(), self.plan.steps[0].label
+        return self._narrowed(root if label is None else root.filter(F.col("l0") == label), 0)
+
+    def _matched_wide(self) -> DataFrame:
+        """The next vertex from its candidates; its list is fetched if a later position reads it, and narrows their candidates."""
+        k, steps, induced = self.k, self.plan.steps, self.plan.pattern.induced
+        drawn = self.df.withColumn(f"v{k}", F.explode_outer(f"c{k}")).drop(f"c{k}").filter(F.col(f"v{k}").isNotNull())
+        if steps[k].label is not None:
+            drawn = drawn.withColumn(f"l{k}", F.lit(steps[k].label))
+        if any(k in s.joined or induced and k in s.apart for s in steps[k + 1 :]):
+            drawn = drawn.join(self._side(k).drop(f"l{k}"), f"v{k}")
+        return self._narrowed(drawn, k)
+
+    def _narrowed(self, df: DataFrame, k: int) -> DataFrame:
+        """Rows whose word k is matched, with the candidates of later positions by what it says of them."""
+        steps, induced = self.plan.steps, self.plan.pattern.induced
+
+        def says(p: int, j: int, x: Column) -> list[Column]:
+            """What word j asks of the vertex at position p, beyond an edge."""
+            s, v = steps[p], F.col(f"v{j}")
+            out = [x > v] if j in s.above else [x < v] if j in s.below else [x != v] if j in s.apart else []
+            return out + ([~F.array_contains(f"n{j}", x)] if induced and j in s.apart else [])
+
+        def asked(p: int) -> tuple:
+            s = steps[p]
+            return (s.label, *[(j in s.joined, j in s.apart, j in s.above, j in s.below) for j in range(k)])
+
+        made, waiting = {}, []
+        for p in range(k + 1, len(steps)):
+            s, c = steps[p], f"c{p}"
+            if s.joined[0] < k:  # it has candidates
+                if k in s.above and k in s.apart and not induced and asked(p) == asked(k):
+                    # the same rising list that word k was drawn from
+                    made[c] = F.slice(c, F.array_position(c, F.col(f"v{k}")).cast("int") + 1, F.size(c))
+                elif k in s.joined or k in s.apart:
+                    made[c] = F.filter(c, _one(lambda x, p=p, s=s: _all(says(p, k, x) + ([F.array_contains(f"n{k}", x)] if k in s.joined else []))))
+            elif s.joined[0] == k:
+                near = F.col(f"n{k}")
+                if s.label is not None:
+                    near = F.transform(F.filter(F.arrays_zip(f"n{k}", f"m{k}"), _one(lambda z, s=s: z[f"m{k}"] == s.label)), lambda z: z[f"n{k}"])
+                asks = lambda x, p=p: [c for j in range(k + 1) for c in says(p, j, x)]
+                made[c] = F.filter(near, _one(lambda x, asks=asks: _all(asks(x)))) if s.above or s.below or s.apart else near
+            else:
+                waiting.append(s)
+        lists = {f"n{j}" for j in range(k + 1) if induced and any(j in s.apart for s in waiting)}
+        df = df.withColumns(made) if made else df
+        return df.drop(*[c for c in df.columns if c[0] in "nm" and c not in lists])
+
     def _ordered_by(self, x: Column, step) -> list[Column]:
         out = [x > F.col(f"v{j}") for j in step.above] + [x < F.col(f"v{j}") for j in step.below]
         return out + [x != F.col(f"v{j}") for j in step.apart if j not in step.above and j not in step.below]
@@ -364,7 +426,8 @@ class Frontier:
         x = F.col(f"v{k}")
         pairs = graph.pairs.select(F.col("v").alias("__v"), F.col("nb").alias("__x"))
         least = F.least(*[F.struct(F.col(f"g{j}").alias("g"), F.col(f"v{j}").alias("v")) for j in step.joined]) if len(step.joined) > 1 else F.struct(F.col(f"v{step.joined[0]}").alias("v"))
-        df = self.df.withColumn("__at", least["v"]).join(graph.sized(pairs), F.col("__at") == F.col("__v")).withColumnRenamed("__x", f"v{k}").drop("__v", "__at").filter(_all(self._ordered_by(x, step)))
+        at = "__at" if len(step.joined) > 1 else f"v{step.joined[0]}"  # of one vertex, the shuffle of the step before may serve again
+        df = (self.df.withColumn("__at", least["v"]) if at == "__at" else self.df).join(graph.sized(pairs), F.col(at) == F.col("__v")).withColumnRenamed("__x", f"v{k}").drop("__v", "__at").filter(_all(self._ordered_by(x, step)))
         if len(step.joined) > 1 or marks:
             for j in step.joined:
                 there = pairs if not marks else graph.incident.filter(F.col("mark") == marks[j]).select(F.col("v").alias("__v"), F.col("nb").alias("__x"))
@@ -372,6 +435,8 @@ class Frontier:
         if self.plan.pattern.induced:
             for j in step.apart:
                 df = df.join(graph.sized(pairs), (F.col(f"v{j}") == F.col("__v")) & (x == F.col("__x")), "left_anti")
+        if step.label is None and not self.needs_label and not any(k in s.joined for s in self.plan.steps[k + 1 :]):
+            return df  # nothing reads its degree
         side = graph.degrees.select(F.col("v").alias(f"v{k}"), F.col("label").alias(f"l{k}"), F.col("degree").alias(f"g{k}"))
         return df.join(graph.sized(side if step.label is None else side.filter(F.col(f"l{k}") == step.label)), f"v{k}")
 
@@ -410,6 +475,8 @@ class Frontier:
         if size is None and self.k > 1:
             raise ValueError("edge subgraphs may have different numbers of vertices: name one, or use to_vertices_by_size()")
         size = size or 2
+        if self.whole and not self.graph.fits and size <= MOST_COUNTED:
+            return _spanned(Frontier.vertices(self.graph).extend(size), self.k)
         sets = self.df.select(F.array_sort(self.vertex_list()).alias("all"))
         return _in_vertex_order(self.graph, sets.filter(F.size("all") == size), size)
 
@@ -499,6 +566,10 @@ class Frontier:
         Rows are aggregated by the quick pattern first, so only distinct quick patterns are canonised, in parallel; how
         names a pair of MERGES, or is one: what makes a partial result and what merges them.
         """
+        if self.whole and not self.graph.fits and not labelled and value is None and how in ("sum", "count") and 2 < self.k <= MOST_COUNTED - (self.kind == "edge") and self.kind != "pattern" and not edge_labels:
+            from .apps import whole_counts
+
+            return whole_counts(self.graph, self.k, self.kind).withColumnRenamed("n", name)
         partial, final = MERGES[how] if isinstance(how, str) else how
         mask, labels = self.quick(edge_labels)
         quick = [mask, labels if labelled else F.array().cast("array<int>").alias("labels")]
@@ -575,6 +646,19 @@ def _in_vertex_order(graph: Graph, sets: DataFrame, k: int) -> Frontier:
     return replace(f, df=df)
 
 
+def _spanned(f: Frontier, m: int) -> Frontier:
+    """Each row of a vertex frontier once for every connected subgraph of m edges on all its vertices."""
+    k, pairs = f.k, [(i, j) for j in range(f.k) for i in range(j)]
+    ways: dict[int, int] = {}
+    for some in combinations(pairs, m):
+        if Pattern.of(k, some).connected():
+            ways[sum(1 << (j * (j - 1) // 2 + i) for i, j in some)] = 1
+    bit = reduce(lambda a, b: a.bitwiseOR(b), [F.shiftleft(f"b{j}", j * (j - 1) // 2) for j in range(1, k)])
+    times = reduce(lambda a, b: a + b, [F.when(bit.bitwiseAND(F.lit(w)) == w, 1).otherwise(0) for w in ways], F.lit(0))
+    rows = f.df.withColumn("__time", F.explode_outer(F.when(times > 0, F.sequence(F.lit(1), times)))).filter("__time is not null").drop("__time")
+    return replace(f, df=rows)
+
+
 def _in_edge_order(graph: Graph, rows: DataFrame, m: int) -> Frontier:
     """left (sorted structs id, src, dst, label) -> an edge frontier: the least edge, then each time the least that touches those before."""
     df = rows.select(F.col("left"), F.col("left")[0].alias("y0"))

@@ -86,10 +86,25 @@ def test_wide_graphs_give_what_broadcast_lists_give(noisy):
     assert tri(wide) == tri(g)
     assert every(apps.edge_subgraphs(wide, 2).to_vertices(3)) == every(apps.edge_subgraphs(g, 2).to_vertices(3))
     assert rows(apps.maximal_cliques(wide, 3)) == rows(apps.maximal_cliques(g, 3)) and rows(apps.quasi_cliques(wide, 4, 0.6)) == rows(apps.quasi_cliques(g, 4, 0.6))
+    assert as_dict(apps.edge_subgraphs(wide, 3).by_pattern(False)) == as_dict(apps.edge_subgraphs(g, 3).by_pattern(False))
+    assert as_dict(apps.counts(wide, apps.subgraphs_by_pattern(wide, 4))) == as_dict(apps.counts(g, apps.subgraphs_by_pattern(g, 4)))
+    some = lambda x: as_dict(apps.edge_subgraphs(x, 3).filter(F.col("e0") % 2 == 0).by_pattern(False))
+    assert some(wide) == some(g)
+    house = Pattern.of(5, [(0, 1), (0, 2), (0, 3), (1, 2), (2, 4), (3, 4)])
+    assert apps.query(wide, house).count() == apps.query(g, house).count() > 0
     plan = Frontier.vertices(wide).extend(3).df.select("v0", "v1", "v2", "b2")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1
 
 
+def test_induced_counts_from_matches():
+    for k in (3, 4, 5):
+        signs = apps.spanning(k)
+        for q in vertex_patterns(k):
+            held = Counter(r.key() for m in range(k - 1, q.m + 1) for some in combinations([e[:2] for e in q.edges], m) if (r := Pattern.of(k, some)).connected())
+            got = {y: sum(signs.get((x, y), 0) * n for x, n in held.items()) for _, y in signs}
+            assert {y: n for y, n in got.items() if n} == {q.key(): 1}
+
+
 def test_a_hub_is_never_carried(spark):
     leaves = 100_000
     rows = spark.range(1, leaves + 1).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v")).union(spark.createDataFrame([(1, 2), (2, 3), (leaves + 1, leaves + 2)], "u long, v long"))
