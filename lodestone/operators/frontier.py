@@ -189,7 +189,7 @@ class Frontier:
     def _side(self, k: int) -> DataFrame:
         """What the graph says of word k: v*, l*, n* and m* as its form has them."""
         graph = self.graph
-        with_far = graph.wide and (self.kind != "pattern" or self.needs_label)
+        with_far = self.needs_label if self.kind == "pattern" else graph.wide
         side = graph.vertex_label if not graph.lists else graph.beside if with_far else graph.adjacency
         names = {"v": f"v{k}", "label": f"l{k}", "nb": f"n{k}", "nl": f"m{k}"}
         return side.select(*[F.col(c).alias(names[c]) for c in side.columns])
@@ -331,26 +331,26 @@ class Frontier:
         k, step = self.k, self.plan.steps[self.k]
         by_lists = self.graph.lists and not self.plan.pattern.edge_labeled
         if k == 0:
-            root = self._rooted_wide() if by_lists and self.graph.wide else self._root() if by_lists else self.graph.degrees.select(F.col("v").alias("v0"), F.col("label").alias("l0"), F.col("degree").alias("g0"))
+            root = self._rooted() if by_lists else self.graph.degrees.select(F.col("v").alias("v0"), F.col("label").alias("l0"), F.col("degree").alias("g0"))
             return self._extended(root if step.label is None else root.filter(F.col("l0") == step.label))
         if by_lists and f"c{k}" in self.df.columns:
-            return self._extended(self._matched_wide())
+            return self._extended(self._matched_candidates())
         return self._extended(self._matched_lists(step) if by_lists else self._matched_joins(step))
 
-    # in a wide graph, rows carry c*, the candidates of each later position that is joined to a matched one, in place of lists
+    # with lists, rows carry c*, the candidates of each later position that is joined to a matched one, in place of lists
 
-    def _rooted_wide(self) -> DataFrame:
+    def _rooted(self) -> DataFrame:
         root, label = self._root(), self.plan.steps[0].label
         return self._narrowed(root if label is None else root.filter(F.col("l0") == label), 0)
 
-    def _matched_wide(self) -> DataFrame:
+    def _matched_candidates(self) -> DataFrame:
         """The next vertex from its candidates; its list is fetched if a later position reads it, and narrows their candidates."""
         k, steps, induced = self.k, self.plan.steps, self.plan.pattern.induced
         drawn = self.df.withColumn(f"v{k}", F.explode_outer(f"c{k}")).drop(f"c{k}").filter(F.col(f"v{k}").isNotNull())
         if steps[k].label is not None:
             drawn = drawn.withColumn(f"l{k}", F.lit(steps[k].label))
         if any(k in s.joined or induced and k in s.apart for s in steps[k + 1 :]):
-            drawn = drawn.join(self._side(k).drop(f"l{k}"), f"v{k}")
+            drawn = drawn.join(self.graph.sized(self._side(k).drop(f"l{k}")), f"v{k}")
         return self._narrowed(drawn, k)
 
     def _narrowed(self, df: DataFrame, k: int) -> DataFrame:

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pattern import Pattern, extend_by_edge, parse
-from .frontier import Frontier, canonical_positions, match
+from ..functions.pattern import Pattern, canonical_order, extend_by_edge, parse
+from .frontier import MOST_COUNTED, MOST_VERTICES, Frontier, canonical_positions, match
 from .graph import Graph
 from .store import bounded, dropped, kept
 
 RESULT = "pattern string, support long, n long"
 BROADCAST_PATTERNS, MOST_LABEL_PAIRS = 100_000, 2_000
+#: More patterns of one shape than this are matched as the shape, without labels.
+FEW_OF_A_SHAPE = 8
 
 
 def _placed(f: Frontier, labelled: bool) -> DataFrame:
@@ -41,9 +44,11 @@ def frequent_subgraphs(graph: Graph, min_support: int, max_edges: int = 10, stra
 
     po grows edge subgraphs and keeps those of frequent patterns; pa matches candidate patterns, which are the growths
     of frequent ones none of whose parts is infrequent; mcvc does so with covers first; papo finds frequent single edges
-    by matching and grows only those.  Edge labels do not count.
+    by matching and grows only those.  Without labels po matches too, up to four edges.  Edge labels do not count.
     """
     labelled = "v" in graph.labeling if labelled is None else labelled
+    if strategy == "po" and not labelled and max_edges < MOST_COUNTED:
+        strategy = "pa"  # a handful of patterns in all, whose matches need not be listed
     if strategy in ("pa", "mcvc"):
         return _by_patterns(graph, min_support, max_edges, strategy, labelled)
     found: list[DataFrame] = []
@@ -63,17 +68,64 @@ def frequent_subgraphs(graph: Graph, min_support: int, max_edges: int = 10, stra
 
 
 def pattern_support(graph: Graph, patterns: Iterable[Pattern], strategy: str = "pa") -> DataFrame:
-    """pattern, support, n of given patterns by matching; one job for all."""
+    """pattern, support, n of given patterns by matching; one job for all.
+
+    Patterns of one shape that differ in labels are matched together, if they are more than FEW_OF_A_SHAPE.
+    """
+    strategy = "mcvc" if strategy == "mcvc" else "pa"
+    ps, shapes = list(patterns), {}
+    for at, p in enumerate(ps):
+        shapes.setdefault(p.unlabelled().key(), []).append(at)
     parts = []
-    for p in patterns:
-        f = match(graph, p, "mcvc" if strategy == "mcvc" else "pa")
-        orbits = p.orbits()
-        vs = F.array(*[F.struct(F.lit(orbits[p_at]).alias("orbit"), F.col(f"v{i}").alias("v")) for i, p_at in enumerate(f.plan.order)])
-        parts.append(f.df.select(F.lit(p.key()).alias("pattern"), vs.alias("all")))
-    rows = reduce(DataFrame.unionAll, parts)
-    images = rows.select("pattern", F.explode("all").alias("x")).select("pattern", "x.orbit", "x.v").distinct()
-    support = images.groupBy("pattern", "orbit").agg(F.count("*").alias("images")).groupBy("pattern").agg(F.min("images").alias("support"))
-    return support.join(rows.groupBy("pattern").agg(F.count("*").alias("n")), "pattern")
+    for shape, group in shapes.items():
+        if ps[group[0]].labels is not None and len(group) > FEW_OF_A_SHAPE:
+            parts.append(_images_of_shape(graph, parse(shape), {at: ps[at] for at in group}, strategy))
+        else:
+            parts += [_images(graph, ps[at], at, strategy) for at in group]
+    # a place is a pattern's number and an orbit; a match counts once for each of its vertices
+    seen = reduce(DataFrame.unionAll, parts).groupBy("place", "v").agg(F.sum("times").alias("times"))
+    places = seen.groupBy("place").agg(F.count("*").alias("images"), F.sum("times").alias("times"))
+    names = graph.spark.createDataFrame([(at, p.key(), p.n) for at, p in enumerate(ps)], "at int, pattern string, size int")
+    each = places.groupBy((F.col("place") / MOST_VERTICES).cast("int").alias("at")).agg(F.min("images").alias("support"), F.sum("times").alias("times"))
+    return each.join(F.broadcast(names), "at").select("pattern", "support", (F.col("times") / F.col("size")).cast("long").alias("n"))
+
+
+def _images(graph: Graph, p: Pattern, at: int, strategy: str) -> DataFrame:
+    """place, v, times: for each match of a pattern, or for all that differ in the last vertex, the vertex at each position."""
+    f = Frontier.pattern(graph, p, strategy).extend(p.n - 1)
+    orbits = p.orbits()
+    place = lambda i: F.lit(at * MOST_VERTICES + orbits[f.plan.order[i]])
+    entry = lambda i, v, times: F.struct(place(i).alias("place"), v.alias("v"), times.cast("long").alias("times"))
+    last, own = f"c{p.n - 1}", range(p.n - 1)
+    if last in f.df.columns:
+        rows = f.df.filter(F.size(last) > 0)
+        each = F.concat(F.array(*[entry(i, F.col(f"v{i}"), F.size(last)) for i in own]), F.transform(last, lambda x: entry(p.n - 1, x, F.lit(1))))
+    else:
+        rows = f.extend(1).df
+        each = F.array(*[entry(i, F.col(f"v{i}"), F.lit(1)) for i in range(p.n)])
+    return rows.select(F.explode_outer(each).alias("x")).select("x.place", "x.v", "x.times")
+
+
+def _images_of_shape(graph: Graph, shape: Pattern, labelled: dict[int, Pattern], strategy: str) -> DataFrame:
+    """The same for all these patterns, which become one shape without labels: it is matched once, and labels tell them apart."""
+    f = match(graph, shape, strategy).with_labels()
+    rows: dict[tuple[int, ...], tuple[int, list[int]]] = {}
+    for at, p in labelled.items():
+        order, orbits = canonical_order(p.unlabelled()), p.orbits()  # position i of the shape is p's vertex order[i]
+        for turn in shape.automorphisms():
+            mine = [order[turn[i]] for i in f.plan.order]
+            rows[tuple(p.labels[v] for v in mine)] = at, [at * MOST_VERTICES + orbits[v] for v in mine]
+    known = graph.spark.createDataFrame([(list(x), places) for x, (_, places) in rows.items()], "__l array<int>, places array<int>")
+    named = f.df.select(f.words().alias("words"), f.labels().alias("__l")).join(bounded(known, BROADCAST_PATTERNS), "__l")
+    return named.select(F.explode_outer(F.arrays_zip("places", "words")).alias("x")).select(F.col("x.places").alias("place"), F.col("x.words").alias("v"), F.lit(1).cast("long").alias("times"))
+
+
+def _of_pairs(graph: Graph, good: list[Pattern]) -> Graph:
+    """The graph with only the edges whose pair of labels is one of these single-edge patterns."""
+    side = lambda c, a: graph.vertex_label.select(F.col("v").alias(c), F.col("label").alias(a))
+    pairs = graph.spark.createDataFrame([(min(p.labels), max(p.labels)) for p in good], "x int, y int")
+    ends = graph.edges.join(graph.sized(side("src", "p")), "src").join(graph.sized(side("dst", "q")), "dst").withColumn("x", F.least("p", "q")).withColumn("y", F.greatest("p", "q"))
+    return replace(graph, edges=kept(ends.join(F.broadcast(pairs), ["x", "y"], "left_semi").select("id", "src", "dst", "labels")))
 
 
 def _edge_patterns(graph: Graph, labelled: bool) -> list[Pattern]:
@@ -105,6 +157,8 @@ def _by_patterns(graph: Graph, min_support: int, max_edges: int, strategy: str,
         good = [parse(k) for k in sorted(keys)]
         if m == 1 and labelled:
             labels = {x for p in good for x in p.labels}
+            if infrequent and m < max_edges:
+                graph = _of_pairs(graph, good)  # no frequent pattern has another edge
         grown = {q for p in good for q in extend_by_edge(p, labels)}
         level = sorted((q for q in grown if not any(r.key() in infrequent for r in _parts(q))), key=lambda q: q.key())
     return reduce(DataFrame.unionByName, found) if found else graph.spark.createDataFrame([], RESULT)

@@ -105,6 +105,30 @@ def test_induced_counts_from_matches():
             assert {y: n for y, n in got.items() if n} == {q.key(): 1}
 
 
+def test_patterns_of_one_shape_are_matched_together(spark, monkeypatch):
+    """Labelled patterns of a shape by one match of it; without labels, nothing is grown either."""
+    rng = random.Random(5)
+    edges = [(i, j) for j in range(14) for i in range(j) if rng.random() < 0.3]
+    g = make(spark, edges, [rng.randint(1, 3) for _ in range(14)]).kept()
+    rows = lambda df: {tuple(r) for r in df.select("pattern", "support", "n").collect()}
+    asked, own = [], Frontier.pattern
+
+    def pattern(graph, p, *more):
+        asked.append(p)
+        return own(graph, p, *more)
+
+    monkeypatch.setattr(Frontier, "pattern", staticmethod(pattern))
+    together = rows(fsm.frequent_subgraphs(g, 2, 2, "pa"))
+    assert len({key for key, _, _ in together}) > fsm.FEW_OF_A_SHAPE and len(asked) <= 2 * fsm.FEW_OF_A_SHAPE
+    monkeypatch.setattr(fsm, "FEW_OF_A_SHAPE", 0)
+    assert together == rows(fsm.frequent_subgraphs(g, 2, 2, "mcvc")) == rows(fsm.frequent_subgraphs(g, 2, 2, "po"))
+    plain = rows(fsm.frequent_subgraphs(g, 5, 3, labelled=False))
+    assert plain == rows(fsm.frequent_subgraphs(replace(g, broadcast_edges=1), 5, 3, labelled=False))
+    monkeypatch.setattr(fsm, "MOST_COUNTED", 0)
+    asked.clear()
+    assert plain == rows(fsm.frequent_subgraphs(g, 5, 3, labelled=False)) and not asked
+
+
 def test_a_hub_is_never_carried(spark):
     leaves = 100_000
     rows = spark.range(1, leaves + 1).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v")).union(spark.createDataFrame([(1, 2), (2, 3), (leaves + 1, leaves + 2)], "u long, v long"))
