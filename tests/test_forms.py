@@ -129,6 +129,21 @@ def test_patterns_of_one_shape_are_matched_together(spark, monkeypatch):
     assert plain == rows(fsm.frequent_subgraphs(g, 5, 3, labelled=False)) and not asked
 
 
+def test_triangles_by_block_send_a_list_once(spark, noisy, monkeypatch):
+    g, edges, _, _ = noisy
+    own, asked = G.kept, []
+    monkeypatch.setattr(G, "kept", lambda df: asked.append(df._jdf.queryExecution().executedPlan().toString()) or own(df))
+    wide = replace(g, broadcast_edges=1)
+    want = {r.v: r.triangles for r in G.triangle_count(g).collect()}
+    for uneven in (100, 0):  # ranges, hashes
+        monkeypatch.setattr(G, "UNEVEN", uneven)
+        assert {r.v: r.triangles for r in G.triangle_count(wide).collect()} == want
+        dealt = [line for line in asked[-1].splitlines() if "Exchange hashpartitioning" in line]
+        assert sum("hashpartitioning(block" in line for line in dealt) == 2 and len(dealt) == 3  # the third counts by vertex
+    empty = G.from_edges(spark.createDataFrame([], "u long, v long"), packed=True, broadcast_edges=-1)
+    assert G.triangle_count(empty).count() == 0
+
+
 def test_a_hub_is_never_carried(spark):
     leaves = 100_000
     rows = spark.range(1, leaves + 1).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v")).union(spark.createDataFrame([(1, 2), (2, 3), (leaves + 1, leaves + 2)], "u long, v long"))
