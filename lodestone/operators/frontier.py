@@ -428,7 +428,10 @@ class Frontier:
         least = F.least(*[F.struct(F.col(f"g{j}").alias("g"), F.col(f"v{j}").alias("v")) for j in step.joined]) if len(step.joined) > 1 else F.struct(F.col(f"v{step.joined[0]}").alias("v"))
         at = "__at" if len(step.joined) > 1 else f"v{step.joined[0]}"  # of one vertex, the shuffle of the step before may serve again
         df = (self.df.withColumn("__at", least["v"]) if at == "__at" else self.df).join(graph.sized(pairs), F.col(at) == F.col("__v")).withColumnRenamed("__x", f"v{k}").drop("__v", "__at").filter(_all(self._ordered_by(x, step)))
-        if len(step.joined) > 1 or marks:
+        if len(step.joined) == 2 and not marks:  # the other of the two is all that is left to check
+            ends = [F.struct(F.col(f"g{j}").alias("g"), F.col(f"v{j}").alias("v")) for j in step.joined]
+            df = df.withColumn("__far", F.greatest(*ends)["v"]).join(graph.sized(pairs), (F.col("__far") == F.col("__v")) & (x == F.col("__x")), "left_semi").drop("__far")
+        elif len(step.joined) > 1 or marks:
             for j in step.joined:
                 there = pairs if not marks else graph.incident.filter(F.col("mark") == marks[j]).select(F.col("v").alias("__v"), F.col("nb").alias("__x"))
                 df = df.join(graph.sized(there), (F.col(f"v{j}") == F.col("__v")) & (x == F.col("__x")), "left_semi")
